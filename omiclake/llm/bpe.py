@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import pyarrow as pa
@@ -72,7 +73,7 @@ class Coder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
         self.chars = byte_characters()
         self.pattern = regex.compile(pattern)
-        self.odd = regex.compile(r" \s")
+        self.odd = re.compile(r" \s")
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, list[int]] = {}
 

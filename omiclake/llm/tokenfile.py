@@ -10,6 +10,7 @@ numbers give the order of all ids), with the ids as one block of codes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from omiclake.llm.bpe import byte_characters
 from omiclake.llm.common import Once, documents, raw, shared_dir, small_batches
 
 END_ID = 2
 #: Bits of a bitmap between two entries of its rank directory.
 STRIDE = 512
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+#: Fixed value: the byte-level pre-tokenizer's pattern. Below LATIN all libraries agree on what letters are.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = "\u0250"
 SEGMENT = "part int, segment int, first_token bigint, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
 
 
@@ -92,40 +97,63 @@ class Tokenizer:
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
+        self.pattern = regex.compile(PATTERN)
         self.cuttable = self._cuttable()
-        self.odd = regex.compile(r" \s")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.odd = re.compile(r" \s")
+        self.bytes = byte_characters()
+        self.known: dict[str, bytes] = {}  # what follows a space
+        self.pieces: dict[str, bytes] = {}
 
     def _cuttable(self) -> bool:
         """Only a byte-level pre-tokenizer with the usual pattern is known to cut at a space before a word."""
         kind = type(self.whole.pre_tokenizer).__name__
         return kind == "ByteLevel" and self.whole.normalizer is None and self.split("a b") == [("a", (0, 1)), ("Ġb", (1, 3))]
 
-    def _word(self, mapped: str) -> bytes:
-        ids = self.words.get(mapped)
+    def _ids(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
         if ids is None:
-            self.words[mapped] = ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            self.pieces[piece] = ids = self._ids("".join([self.bytes[b] for b in piece.encode()]))
         return ids
 
+    def _chunk(self, chunk: str) -> bytes:
+        """What follows the last space may hold several pre-tokens. Beyond Latin, the library's own pre-tokenizer decides."""
+        if not chunk.isascii() and max(chunk) >= LATIN:
+            return b"".join([self._ids(w) for w, _ in self.split(chunk)])
+        return b"".join([self._piece(w) for w in self.pattern.findall(chunk)])
+
+    def _after_space(self, chunk: str) -> bytes:
+        """Letters after a space are one pre-token with it."""
+        if chunk.isalpha():
+            if chunk.isascii():
+                return self._ids("Ġ" + chunk)
+            if max(chunk) < LATIN:
+                return self._ids("Ġ" + "".join([self.bytes[b] for b in chunk.encode()]))
+        return self._chunk(" " + chunk)
+
     def encode(self, text: str) -> bytes:
         """The whole text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if not self.cuttable or self.odd.search(text):  # a space between two white-space characters may lie within a pre-token
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        cut = [first, *[" " + c for c in rest]]
-        try:
-            return b"".join([self.chunks[c] for c in cut])
-        except KeyError:
-            if len(self.chunks) + len(self.words) > REMEMBERED * 2:
-                self.chunks, self.words = {}, {}
-            for c in cut:
-                if c not in self.chunks:
-                    self.chunks[c] = b"".join([self._word(w) for w, _ in self.split(c)])
-            return b"".join([self.chunks[c] for c in cut])
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.pieces.clear()
+        cut = text.split(" ")
+        out = list(map(known.get, cut))
+        out[0] = self._chunk(cut[0]) if cut[0] else b""
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    c = cut[i]
+                    known[c] = out[i] = known.get(c) or self._after_space(c)
+        return b"".join(out)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, tokens: int = 1 << 20, partitions: int | None = None) -> None:
