@@ -1,11 +1,11 @@
 """Operator 4: document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is a weighted set: its words' counts, words hashed to 65,536 terms. For each term and each of 64
+A text is a weighted set: its words' counts, words hashed to 32,768 terms. For each term and each of 64
 samples r and c are Gamma(2, 1) and b uniform in (0, 1), fixed by hashes. A term of weight w draws t = floor(ln w / r + b) and
 ln a = ln c - r (t - b + 1); a sample keeps the term and t of the least a. Two texts agree in a
 sample with a probability equal to the generalised Jaccard similarity of their weighted terms.
 
-The gammas are a table of fixed size (65,536 rows), broadcast. Documents are shuffled once, to buckets of
+The gammas are a table of fixed size (32,768 rows of 192 floats, 25 MB), broadcast. Documents are shuffled once, to buckets of
 neighbouring ids; words are counted, sampled and compared within them.
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from omiclake.llm.common import documents
 
-TERMS = 1 << 16
+TERMS = 1 << 15
 SAMPLES = 64
-#: Fixed-point scale of ln a, and bits for the term and t below it: 16 and 15.
+#: Fixed-point scale of ln a, and bits for the term and t below it: 15 and 15, and one spare.
 SCALE, LOW = float(1 << 26), 31
 
 
@@ -34,28 +34,30 @@ def gammas(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
     table = spark.range(0, TERMS, 1, 8).select(F.col("id").cast("int").alias("term"))
     return table.select(
         "term",
-        F.transform(ks, lambda k: gamma("r", k)).alias("r"),
-        F.transform(ks, lambda k: F.log(gamma("c", k))).alias("lc"),
-        F.transform(ks, lambda k: _uniform("b", k)).alias("b"),
+        F.transform(ks, lambda k: gamma("r", k).cast("float")).alias("r"),
+        F.transform(ks, lambda k: F.log(gamma("c", k)).cast("float")).alias("lc"),
+        F.transform(ks, lambda k: _uniform("b", k).cast("float")).alias("b"),
     )
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and sig, an array of longs (term and t), for texts that have words; others give no row.
+def signatures(texts: DataFrame, keys: list[str], carry: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys, the long columns carry, and sig, an array of ints that encode term and t; null for texts without words.
 
-    texts must be partitioned by (some of) keys already, or is shuffled; keys name a text.
+    texts must be partitioned by (some of) keys already, or is shuffled; keys name a text, and carry goes with them.
     """
-    words = texts.select(*keys, F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("_w")).where("_w != ''")
-    counts = words.select(*keys, F.shiftrightunsigned(F.xxhash64("_w"), 48).cast("int").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    drawn = counts.join(F.broadcast(gammas(texts.sparkSession, samples)), "term").withColumn("lw", F.log(F.col("n").cast("double")))
+    words = texts.select(*keys, *carry, F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("_w"))
+    term = F.when(F.col("_w") == "", F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("_w"), 49).cast("int"))
+    kept = [F.max(c).alias(c) for c in carry]
+    counts = words.withColumn("term", term).groupBy(*keys, "term").agg(F.count("*").alias("n"), *kept)
+    drawn = counts.join(F.broadcast(gammas(texts.sparkSession, samples)), "term", "left").withColumn("lw", F.log(F.col("n").cast("double")))
     least = []
     for k in range(samples):
         r, lc, b = (F.get(F.col(c), F.lit(k)) for c in ("r", "lc", "b"))
         t = F.floor(F.col("lw") / r + b)
         a = ((lc - r * (t - b + 1)) * SCALE).cast("long")
         least.append(F.min(F.shiftleft(a, LOW).bitwiseOR(F.shiftleft(F.col("term").cast("long"), 15)).bitwiseOR(t.bitwiseAND(F.lit(32767)))).alias(f"m{k}"))
-    sig = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit((1 << LOW) - 1)) for k in range(samples)])
-    return drawn.groupBy(*keys).agg(*least).select(*keys, sig.alias("sig"))
+    sig = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit((1 << LOW) - 1)).cast("int") for k in range(samples)])
+    return drawn.groupBy(*keys).agg(*kept, *least).select(*keys, *carry, F.when(F.col("m0").isNotNull(), sig).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,14 +118,20 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
-    both = rows.select("_bucket", "_at", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("_t"))
-    sig = signatures(both.select("_bucket", "_at", "_t.kind", "_t.text"), ["_bucket", "_at", "kind"], samples)
-    sig = sig.groupBy("_bucket", "_at").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("changed"))
-    out = rows.select("_bucket", "_at", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "extra").join(sig, ["_bucket", "_at"], "left")
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    parts = [F.conv(F.substring("_sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"_s{i}") for i in range(4)]
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
+    carry = ["_id", "n_chars", "_extra", *(f"_s{i}" for i in range(4))]
+    own = rows.select("_bucket", "_at", F.col("doc_id").cast("long").alias("_id"), n.cast("long").alias("n_chars"), F.col("extra").cast("long").alias("_extra"), digest.alias("_sha"), kinds.alias("_t"))
+    own = own.select("_bucket", "_at", "_id", "n_chars", "_extra", *parts, "_t.kind", "_t.text")
+    sig = signatures(own, ["_bucket", "_at", "kind"], carry, samples)
+    own = [F.max(F.when(F.col("kind") == k, F.col("sig"))).alias(c) for k, c in enumerate(("own", "changed"))]
+    out = sig.groupBy("_bucket", "_at").agg(*[F.max(c).alias(c) for c in carry], *own)
     following = F.lead("own").over(Window.partitionBy("_bucket").orderBy("_at"))
-    out = out.withColumn("following", following).where(~F.col("extra"))
+    out = out.withColumn("following", following).where("_extra = 0")
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"_s{i}")), 16, "0") for i in range(4)])
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", hexed(F.col("own"), samples).alias("fingerprint"), hexed(F.col("changed"), samples).alias("edited_fingerprint"),
+        F.col("_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), hexed(F.col("own"), samples).alias("fingerprint"), hexed(F.col("changed"), samples).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
 
