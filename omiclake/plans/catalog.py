@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from omiclake.functions import codecs as C
+from omiclake.functions import protection as E
 from omiclake.operators import analysis as A
 from omiclake.operators import anonymise as N
 from omiclake.operators import cohort as Q
@@ -15,6 +16,9 @@ from omiclake.operators import filters as P
 from omiclake.operators import projections as J
 from omiclake.operators import relations as R
 from omiclake.plans.views import oracle, table, view
+from omiclake.sinks import text_lines as S
+from omiclake.sources import text_formats as T
+from omiclake.streaming import units as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -419,3 +423,89 @@ def reference_total_bases(spark, d):
 @query("SELECT count(*) AS frame_count, count(*) FILTER (event_id % 4 = 0) AS ms1_count, count(*) FILTER (event_id % 4 <> 0) AS ms2_count, coalesce(min(value), 0.0) AS time_min, coalesce(max(value), 0.0) AS time_max FROM events")
 def bruker_style_metadata(spark, d):
     return A.frames_summary(table(spark, d, "events").select((F.col("event_id") % 4).alias("msms_type"), F.col("value").alias("time")))
+
+
+@query("SELECT n_name AS name, length, CAST(coalesce(sum(len(n_name) + 2 + length + ceil(length / 60.0)) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + len(n_name) + 2 AS BIGINT) AS \"offset\" FROM (SELECT *, CAST(4 * (n_nationkey * 7 + 1) AS BIGINT) AS length FROM nation)")
+def fasta_fai(spark, d):
+    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"), F.expr("repeat('ACGT', n_nationkey * 7 + 1)").alias("sequence"))
+    return S.fasta_index(c).select("name", "length", "offset")
+
+
+SAM = """SELECT read_index, read_name || chr(9) || flags || chr(9) || chromosome || chr(9) || position || chr(9) || mapping_quality || chr(9) || cigar || chr(9) ||
+ CASE WHEN mate_chromosome = '*' THEN '*' WHEN mate_chromosome = chromosome THEN '=' ELSE mate_chromosome END || chr(9) || greatest(mate_position, 0) || chr(9) || template_length || chr(9) || 'ACGT' || chr(9) || '!!!!' AS value FROM reads"""
+
+
+def sam_reads(spark, d):
+    return view(spark, d, "reads").withColumns({"sequence": F.lit("ACGT"), "qualities": F.lit(b"!!!!"), "tags": F.lit("")})
+
+
+@query(SAM, "reads")
+def sam_line_projection(spark, d):
+    return S.sam_lines(sam_reads(spark, d)).select("read_index", "value")
+
+
+@query("SELECT read_index, CAST(row_number() OVER (ORDER BY chromosome, position, read_index) AS INTEGER) AS place FROM reads QUALIFY place <= 500", "reads")
+def sam_sort(spark, d):
+    first = S.coordinate_sorted(view(spark, d, "reads")).limit(500)
+    return first.select("read_index", F.row_number().over(Window.orderBy("chromosome", "position", "read_index")).alias("place"))
+
+
+@query("SELECT r_name AS run_name, coalesce(string_agg(n_name, ';' ORDER BY n_nationkey), '') AS derived_files FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 12 GROUP BY 1")
+def isa_derived_list(spark, d):
+    runs = table(spark, d, "region").select(F.col("r_name").alias("run_name"), "r_regionkey")
+    c = table(spark, d, "nation").where("n_nationkey < 12").join(F.broadcast(runs), F.col("n_regionkey") == F.col("r_regionkey")).select("run_name", F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"))
+    return S.isa_assays(runs, c)
+
+
+@query("SELECT 'f' AS path, CAST(n_nationkey AS INTEGER) AS line_no, CASE n_nationkey % 4 WHEN 0 THEN 'S' || chr(9) || n_name || chr(9) || 'ACGT' WHEN 1 THEN 'L' || chr(9) || n_name || chr(9) || '+' || chr(9) || 'x' || chr(9) || '-' || chr(9) || '4M' WHEN 2 THEN 'P' || chr(9) || n_name || chr(9) || 'a+,b-' || chr(9) || '*' ELSE 'S' || chr(9) || n_name END AS value FROM nation")
+def gfa_line_order(spark, d):
+    n, t = table(spark, d, "nation"), "\t"
+    k, name = F.col("n_nationkey") % 4, F.col("n_name")
+    line = F.when(k == 0, F.concat(F.lit("S\t"), name, F.lit(t + "ACGT"))).when(k == 1, F.concat(F.lit("L\t"), name, F.lit("\t+\tx\t-\t4M"))).when(k == 2, F.concat(F.lit("P\t"), name, F.lit("\ta+,b-\t*"))).otherwise(F.concat(F.lit("S\t"), name))
+    lines = n.select(F.lit("f").alias("path"), F.col("n_nationkey").alias("line_no"), line.alias("value"))
+    return S.gfa_lines(T.gfa(lines))
+
+
+@query("SELECT conv_id, turn, true AS same FROM conversations")
+def aes_au_roundtrip(spark, d):
+    key = F.lit(bytes(range(32)))
+    c = table(spark, d, "conversations").withColumn("aad", E.channel_aad(F.col("conv_id"), F.col("turn"), F.lit("text")))
+    iv = F.substring(F.unhex(F.sha2(F.concat_ws(":", "conv_id", "turn"), 256)), F.lit(1), F.lit(12))
+    box = c.withColumn("box", E.sealed(F.col("text").cast("binary"), key, iv, F.col("aad")))
+    return box.select("conv_id", "turn", (E.opened(F.col("box"), key, F.col("aad")) == F.col("text").cast("binary")).alias("same"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def base_pack_roundtrip(spark, d):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            same = [C.unpack_bases(C.pack_bases(x)) == x for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same)], ["doc_id", "same"])
+
+    acgt = F.translate(F.upper("text"), "EIOU", "ACGT").cast("binary")
+    return table(spark, d, "documents").select("doc_id", acgt.alias("x")).mapInArrow(run, "doc_id bigint, same boolean")
+
+
+@query("SELECT event_id, list_sum([event_id % 50, event_id % 50 + 3, event_id % 50 + 3, event_id % 50 + 1])::DOUBLE / 2 AS total FROM events")
+def jcamp_decode(spark, d):
+    v = (F.col("event_id") % 50 + 1000).cast("string")
+    body = F.concat(F.lit("##TITLE=t\n##DATA TYPE=INFRARED SPECTRUM\n##FIRSTX=0\n##DELTAX=1\n##YFACTOR=0.5\n##XYDATA=(X++(Y..Y))\n0 "), F.lit("A"), F.substring(v, 2, 3), F.lit("L%k\n##END="))
+    files = table(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), body.alias("value"))
+    total = F.aggregate("y", F.lit(0.0), lambda a, x: a + x) - 2000.0
+    return T.jcamp(files).select(F.col("path").cast("long").alias("event_id"), total.alias("total"))
+
+
+@query("SELECT read_index, true AS in_range, CAST(8 AS BIGINT) AS n FROM reads", "reads")
+def seeded_qualities(spark, d):
+    reads = view(spark, d, "reads").withColumn("qualities", F.unhex(F.lit("00" * 8)))
+    out = N.seeded_qualities(reads.select("run_name", "read_index", "qualities"), 7)
+    return out.select("read_index", (~F.hex("qualities").rlike("^(..)*([6-9A-F][0-9A-F]|5[EF])")).alias("in_range"), F.octet_length("qualities").cast("long").alias("n"))
+
+
+@query("SELECT value AS au_sequence, CAST(CASE WHEN value % 5 = 0 THEN 1 ELSE 2 END AS INTEGER) AS ms_level, true AS ok FROM (SELECT event_id AS value FROM events)")
+def acquisition_simulator(spark, d):
+    s = U.simulated(table(spark, d, "events").select(F.col("event_id").alias("value")), peaks=20)
+    n = F.size("mz")
+    return s.select("au_sequence", "ms_level", ((n >= 15) & (n <= 25) & (F.array_sort("mz") == F.col("mz")) & (F.array_max("intensity") == F.col("base_peak_intensity"))).alias("ok"))
