@@ -62,19 +62,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.a * logit(t, self.weights, self.bias) + self.b, -50, 50))))
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method on smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset by Newton's method on smoothed targets; a step that doesn't lower the loss is halved."""
     n1, n0 = y.sum(), (1 - y).sum()
     to = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+
+    def loss(at: np.ndarray) -> float:
+        u = at[0] * z + at[1]
+        return float((np.logaddexp(0, u) - to * u).sum() + 1e-3 * (at[0] - 1) ** 2 / 2 + 1e-3 * at[1] ** 2 / 2)
+
+    at = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - to) * z).sum() + 1e-3 * (a - 1), (p - to).sum()])
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        a, b = np.array([a, b]) - np.linalg.solve(hess, g)
-        a = min(max(a, 1e-2), 1e2)
-    return float(a), float(b)
+        p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -50, 50)))
+        w = p * (1 - p)
+        g = np.array([((p - to) * z).sum() + 1e-3 * (at[0] - 1), (p - to).sum() + 1e-3 * at[1]])
+        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+        step, before = np.linalg.solve(hess, g), loss(at)
+        while np.abs(step).max() > 1e-9 and loss(at - step) > before:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return float(max(at[0], 1e-2)), float(at[1])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-5) -> Model:
