@@ -112,18 +112,17 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, an
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(t).alias("th"), F.octet_length(t).cast("long").alias("nb"), t.alias("text"))
     every = stored(text_runs(texts, length, anchor))
-    known = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").drop("n")
-    again = every.join(known, "h")
-    cover = again.where("not mixed").select("th", "nb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
-
-    differing = again.where("mixed")
-    distinct = differing.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("th", "nb", "s0", "s1", "a")).alias("one"))
-    more = distinct.where("n > 1").select("h", "ctx")
-    cover = cover.union(differing.join(more, ["h", "ctx"], "left_semi").select("th", "nb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end")))
-
-    crowded = distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("h", F.lit(True).alias("crowded"))
-    wanted = distinct.join(crowded, "h", "left").select("one.th", "one.nb", F.struct("h", "ctx", "n", "one.s0", "one.s1", "one.a", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("run"))
-    wanted = wanted.groupBy("th", "nb").agg(F.collect_list("run").alias("runs"))
+    # Counts are combined map-side; both joins may split a hot anchor, as nothing above them needs its rows together.
+    each = every.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min("th").alias("first"))
+    known = each.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("m")).where(F.col("all") > 1).drop("all")
+    status = each.join(known, "h").select("h", "ctx", "n", "first", "m")
+    again = every.join(status, ["h", "ctx"])
+    cover = again.where("n > 1").select("th", "nb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
+
+    # One text stands for all that have an equal run; if it has the run twice, the search takes one of them.
+    one = again.where((F.col("m") > 1) & ((F.col("n") == 1) | (F.col("th") == F.col("first"))))
+    wanted = one.select("th", "nb", F.struct("h", "ctx", "n", "s0", "s1", "a", (F.col("m") > crowd).alias("crowded")).alias("run"))
+    wanted = wanted.groupBy("th", "nb").agg(F.collect_set("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, d = set(), zstandard.ZstdDecompressor()
