@@ -13,6 +13,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,9 @@ from omiclake.llm.common import Once, by_text, documents
 
 #: Remembered chunks and pre-tokens of a worker; forgotten together when there are so many.
 REMEMBERED = 400_000
+#: Fixed value: the byte-level pattern. Below LATIN all libraries agree on what letters are.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = "\u0250"
 
 
 def byte_characters() -> list[str]:
@@ -70,46 +74,51 @@ class Coder:
         import sentencepiece
 
         self.tokens = read_ranks(path)
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
         self.chars = byte_characters()
         self.pattern = regex.compile(pattern)
+        self.cuttable = pattern == PATTERN
         self.odd = re.compile(r" \s")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, list[int]] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > REMEMBERED:
-            self.chunks, self.known = {}, {}
-        parts = {c: self.pattern.findall(c) for c in chunks if c not in self.chunks}
-        new = [p for p in {p for ps in parts.values() for p in ps} if p not in self.known]
-        for p, ids in zip(new, self.model.encode(["".join([self.chars[b] for b in p.encode()]) for p in new], num_threads=1) if new else [], strict=True):
+        self.known: dict[str, bytes] = {}  # what follows a space
+        self.pieces: dict[str, bytes] = {}  # pre-tokens
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Remembers the ids of new pre-tokens."""
+        mapped = ["".join([self.chars[b] for b in p.encode()]) for p in pieces]
+        for p, ids in zip(pieces, self.model.encode(mapped, num_threads=1) if mapped else [], strict=True):
             if 0 in ids:
                 raise ValueError("the vocabulary lacks a byte")
-            self.known[p] = tuple([i - 1 for i in ids])
-        for c, ps in parts.items():
-            self.chunks[c] = [i for p in ps for i in self.known[p]]
+            self.pieces[p] = struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids])
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        parts = [[t] if t[:1] == " " and t[1:].isalpha() and max(t) < LATIN and self.cuttable else self.pattern.findall(t) for t in texts]
+        self._encode(list({p for ps in parts for p in ps if p not in self.pieces}))
+        return [b"".join([self.pieces[p] for p in ps]) for ps in parts]
 
-    def encode(self, text: str) -> list[int]:
-        """Matches of the pattern never reach over a space that follows or precedes a word, so a text is cut there.
+    def encode(self, text: str) -> np.ndarray:
+        """Matches of the usual pattern never reach over a space that follows or precedes a word, so a text is cut there.
 
-        Only a space between two white-space characters may lie within a match; such texts go uncut.
+        Only a space between two white-space characters may lie within a match; such texts, and other patterns', go uncut.
         """
-        if not text:
-            return []
-        if self.odd.search(text):
-            cut = [text]
-        else:
-            first, *rest = text.split(" ")
-            cut = [first, *[" " + c for c in rest]]
-        try:
-            return [i for c in cut for i in self.chunks[c]]
-        except KeyError:
-            self._learn(set(cut))
-            return [i for c in cut for i in self.chunks[c]]
+        if len(self.known) + len(self.pieces) > REMEMBERED:
+            self.known.clear()
+            self.pieces.clear()
+        if not self.cuttable or self.odd.search(text):
+            return np.frombuffer(self._joined([text])[0], "<u4")
+        cut = text.split(" ")
+        out = list(map(self.known.get, cut))
+        out[0] = None
+        new = list({c for c, ids in zip(cut, out, strict=True) if ids is None} - {cut[0]}) if None in out[1:] else []
+        new += [cut[0]] if cut[0] in cut[1:] and cut[0] not in self.known else []
+        first, *rest = self._joined([cut[0], *[" " + c for c in new]])
+        self.known.update(zip(new, rest, strict=True))
+        out = list(map(self.known.get, cut)) if new else out
+        out[0] = first
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -124,9 +133,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
         c = coder()
         n, digest, back, all_ids = [], [], [], []
         for t in texts:
-            ids = c.encode(t.decode())
+            ids = c.encode(t.decode()).tolist()
             n.append(len(ids))
-            digest.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            digest.append(hashlib.sha256(" ".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
             back.append(hashlib.sha256(c.decode(ids)).hexdigest())
             if with_ids:
                 all_ids.append(ids)

@@ -21,16 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omiclake.llm.bpe import byte_characters
+from omiclake.llm.bpe import LATIN, PATTERN, byte_characters
 from omiclake.llm.common import Once, documents, raw, shared_dir, small_batches
 
 END_ID = 2
 #: Bits of a bitmap between two entries of its rank directory.
 STRIDE = 512
+#: Remembered pieces of a worker; forgotten together when there are so many.
 REMEMBERED = 250_000
-#: Fixed value: the byte-level pre-tokenizer's pattern. Below LATIN all libraries agree on what letters are.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LATIN = "\u0250"
 SEGMENT = "part int, segment int, first_token bigint, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
 
 
