@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,9 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Scratch tables go with the process, if its session still runs."""
+    for spark, path in _scratch:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/omiclake-{uuid.uuid4().hex}"
+    path = scratch(spark, "omiclake")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
