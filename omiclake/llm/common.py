@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omiclake.session import shared_dir, stored  # noqa: F401
+from omiclake.session import scratch, stored  # noqa: F401
 
 #: Word separators: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from omiclake.llm.bpe import LATIN, PATTERN, byte_characters
-from omiclake.llm.common import Once, documents, raw, shared_dir, small_batches
+from omiclake.llm.common import Once, documents, raw, scratch, small_batches
 
 END_ID = 2
 #: Bits of a bitmap between two entries of its rank directory.
@@ -240,10 +240,8 @@ def read_at(spark: SparkSession, path: str, positions: list[int]) -> dict[int, i
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path)
