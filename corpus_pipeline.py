@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group stays, that of the smallest doc_id: equal words, or five-word shingles of similarity 0.8 or more."""
+    return simhash.one_of_each(docs, simhash.near_copies(docs))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

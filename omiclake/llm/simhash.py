@@ -20,6 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,9 +188,143 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4) -> Data
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
+#: Fingerprints of a text in near_copies, and bits at which two of one kind make a candidate.
+KINDS, CANDIDATE_BITS = 3, 12
+#: Up to so many texts of an anchor's group meet in all pairs; in larger ones each meets the group's leaders.
+ALL_PAIRS = 6
+
+
+def word_sets(text: bytes) -> tuple[int, list[int]]:
+    """A hash of the lower-cased words in order, and KINDS fingerprints over the distinct ones."""
+    w = text.lower().split()
+    own = [*set(w)]
+    wide = b"".join([xxhash.xxh128_digest(x, SEED) for x in own] + [xxhash.xxh64_digest(x, SEED + 1) for x in own])
+    cut = 16 * len(own)
+    planes = np.concatenate([np.frombuffer(wide[:cut], np.uint8).reshape(-1, 16), np.frombuffer(wide[cut:], np.uint8).reshape(-1, 8)], axis=1)
+    ones = np.concatenate([np.bincount(planes[:, i], minlength=256) @ BITS for i in range(8 * KINDS)])
+    prints = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")
+    return xxhash.xxh64_intdigest(b" ".join(w), SEED), prints.view(np.int64).tolist()
+
+
+def shingles(text: bytes, words: int) -> bytes:
+    """Sorted distinct 32-bit hashes of a text's shingles."""
+    w = text.lower().split()
+    h = [xxhash.xxh32_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))]
+    return np.unique(np.array(h, np.uint32)).tobytes()
+
+
+def candidate_pairs(fp: np.ndarray, home: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[list[int], list[int]]:
+    """Places of an anchor's pairs to compare: all near pairs of a small group, else near pairs with leaders.
+
+    A leader meets all that are near it; each text not near an earlier leader becomes one.
+    """
+    label, u, v = groups_at(fp, home, bits, block), [], []
+    x = fp.view(np.uint64)
+    for g in np.unique(label[label != np.arange(len(fp))]):
+        own, met = np.flatnonzero(label == g), set()
+        for i in own:
+            if len(own) > ALL_PAIRS and i in met:
+                continue
+            near = own[np.bitwise_count(x[own] ^ x[i]) <= bits]
+            met.update(near.tolist())
+            near = near[near > i] if len(own) <= ALL_PAIRS else near[near != i]
+            u += [int(i)] * len(near)
+            v += near.tolist()
+    return u, v
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id: documents whose shingle sets are so similar, or whose words are equal, are linked.
+
+    Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; each
+    pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
+    Null and wordless texts are one text, texts of fewer words one shingle. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def prints(texts: list[bytes]) -> dict:
+        own = [word_sets(t) for t in texts]
+        return {"t": pa.array(np.array([t for t, _ in own], np.uint64).view(np.int64)), "prints": pa.array([p for _, p in own], pa.list_(pa.int64()))}
+
+    known = stored(by_text(docs, prints, "t bigint, prints array<bigint>"))
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS)
+                for k in range(KINDS):
+                    order = np.argsort(p[:, k], kind="stable")
+                    distinct, first, count = np.unique(p[order, k], return_index=True, return_counts=True)
+                    at, who, home = anchors(distinct, len(SEGMENTS))
+                    place = np.searchsorted(distinct, who)
+                    times = count[place]
+                    of = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at | k << 24, times)), pa.array(np.repeat(who, times)), pa.array(t[order][of]), pa.array(np.repeat(home, times))], ["at", "fp", "t", "home"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in batches:
+            own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if rest:
+                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
+            rest = [x[cut[-1] :] for x in own]
+            yield found(own, cut.tolist())
+        if rest:
+            yield found(rest, [0, len(rest[0])])
+
+    def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
+        u, v = [], []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j - i > 1 and own[3][i:j].any():
+                a, b = candidate_pairs(own[1][i:j], own[3][i:j], CANDIDATE_BITS)
+                u.append(own[2][i:j][a] if a else own[2][:0])
+                v.append(own[2][i:j][b] if b else own[2][:0])
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    spread = known.select("t", "prints").dropDuplicates(["t"]).mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean")
+    pairs = spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint")
+    pairs = stored(pairs.where("u != v").distinct())
+
+    def pack(texts: list[bytes]) -> dict:
+        z = zstandard.ZstdCompressor(level=1)
+        return {"z": pa.array([z.compress(t) for t in texts], pa.binary())}
+
+    # The texts of candidates only, one for each word sequence.
+    wanted = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
+    one = known.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("doc_id").alias("doc_id"))
+    texts = by_text(docs, pack, "z binary").join(one, "doc_id").select("t", "z")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(d.decompress(z), words) for z in b.column(1).to_pylist()], pa.binary())], ["t", "s"])
+
+    sets = stored(texts.mapInArrow(shingle, "t bigint, s binary"))
+    both = pairs.join(sets.select(F.col("t").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("t").alias("v"), F.col("s").alias("sv")), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    linked = both.select("u", "v", "su", "sv").mapInArrow(verify, "u bigint, v bigint")
+    root = components(linked).distinct()
+    first = known.groupBy("t").agg(F.min("doc_id").alias("first"))
+    named = first.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "first", F.coalesce("root", "t").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return known.join(named.join(least, "root").select("t", "component_id"), "t").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents that are the first of their component; rows that repeat a doc_id go too."""
-    keep = near_duplicates(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
 
 

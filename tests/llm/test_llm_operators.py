@@ -121,11 +121,37 @@ def test_simhash_fingerprints_and_components(docs, empty):
             todo = [k for j in todo for k in reach[j] if k not in seen and not seen.add(k)]
         assert {g["component_id"] for g in got[i]} == {min((j for j in seen if j is not None), default=None)}
     assert simhash.near_duplicates(empty).collect() == []
-    kept = simhash.one_of_each(docs).collect()
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs)).collect()
     assert len(kept) == len({r["doc_id"] for r in kept}) == len({g[0]["component_id"] for g in got.values()})
     assert kept[0].asDict().keys() == docs.collect()[0].asDict().keys()
 
 
+def test_near_copies_match_brute_force(spark, docs, empty):
+    rng = random.Random(8)
+    data = []
+    for g in range(12):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(60, 250))]
+        for _ in range(rng.randint(1, 14)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 50))):
+                own[rng.randrange(len(own))] = "edited" + str(rng.randint(0, 99))
+            data.append(" ".join(own))
+    rng.shuffle(data)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in data]
+    root = list(range(len(data)))
+    for _ in data:
+        for i in range(len(data)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    table = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table).collect()}
+    assert sum(got[i] != root[i] for i in got) <= 0.05 * len(data)
+    assert all(root[i] == root[c] for i, c in got.items())
+    by_text(simhash.near_copies(docs), docs)
+    assert simhash.near_copies(empty).collect() == []
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(0, 2**32))
 def test_anchors_bring_all_links_together(base, seed):
