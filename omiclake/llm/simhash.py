@@ -238,7 +238,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; each
     pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
-    Null and wordless texts are one text, texts of fewer words one shingle. An empty table gives no rows.
+    Null and wordless texts are one text, texts of fewer words one shingle. A text that only rows without doc_id
+    have is linked with equal ones only. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -300,9 +301,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(d.decompress(z), words) for z in b.column(1).to_pylist()], pa.binary())], ["t", "s"])
+            texts = [d.decompress(z) for z in b.column(1).to_pylist()]
+            # A doc_id that repeats with another text isn't the text that is meant.
+            same = [np.uint64(t & (1 << 64) - 1) == xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for t, x in zip(b.column(0).to_pylist(), texts, strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words) for x in texts], pa.binary())], ["t", "s"])
+            yield out.filter(pa.array(same, pa.bool_()))
 
-    sets = stored(texts.mapInArrow(shingle, "t bigint, s binary"))
+    sets = stored(texts.mapInArrow(shingle, "t bigint, s binary").dropDuplicates(["t"]))
     both = pairs.join(sets.select(F.col("t").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("t").alias("v"), F.col("s").alias("sv")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
