@@ -28,7 +28,7 @@ END_ID = 2
 #: Bits of a bitmap between two entries of its rank directory.
 STRIDE = 512
 #: Remembered pieces of a worker; forgotten together when there are so many.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 SEGMENT = "part int, segment int, first_token bigint, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
 
 
@@ -99,7 +99,7 @@ class Tokenizer:
         self.pattern = regex.compile(PATTERN)
         self.cuttable = self._cuttable()
         self.odd = re.compile(r" \s")
-        self.bytes = byte_characters()
+        self.mapped = "".join(byte_characters())
         self.known: dict[str, bytes] = {}  # what follows a space
         self.pieces: dict[str, bytes] = {}
 
@@ -113,9 +113,13 @@ class Tokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        """A pre-token's ids; one that begins with a space is known by what follows it."""
+        spaced = piece[0] == " " and len(piece) > 1
+        key = piece[1:] if spaced else piece
+        table = self.known if spaced else self.pieces
+        ids = table.get(key)
         if ids is None:
-            self.pieces[piece] = ids = self._ids("".join([self.bytes[b] for b in piece.encode()]))
+            table[key] = ids = self._ids(piece.encode().decode("latin-1").translate(self.mapped))
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -130,7 +134,7 @@ class Tokenizer:
             if chunk.isascii():
                 return self._ids("Ġ" + chunk)
             if max(chunk) < LATIN:
-                return self._ids("Ġ" + "".join([self.bytes[b] for b in chunk.encode()]))
+                return self._ids("Ġ" + chunk.encode().decode("latin-1").translate(self.mapped))
         return self._chunk(" " + chunk)
 
     def encode(self, text: str) -> bytes:
@@ -149,8 +153,7 @@ class Tokenizer:
         if None in out:
             for i, ids in enumerate(out):
                 if ids is None:
-                    c = cut[i]
-                    known[c] = out[i] = known.get(c) or self._after_space(c)
+                    known[cut[i]] = out[i] = self._after_space(cut[i])
         return b"".join(out)
 
 
