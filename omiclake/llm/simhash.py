@@ -213,21 +213,23 @@ def shingles(text: bytes, words: int) -> bytes:
     return np.unique(np.array(h, np.uint32)).tobytes()
 
 
-def candidate_pairs(fp: np.ndarray, home: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[list[int], list[int]]:
+def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[list[int], list[int]]:
     """Places of an anchor's pairs to compare: all near pairs of a small group, else near pairs with leaders.
 
-    A leader meets all that are near it; each text not near an earlier leader becomes one.
+    A leader meets all that are near it; each text not near an earlier leader becomes one, in the order of t, so
+    that a group has the same leaders at most of its anchors and its pairs stay as many as its texts, times a few.
     """
     label, u, v = groups_at(fp, home, bits, block), [], []
     x = fp.view(np.uint64)
     for g in np.unique(label[label != np.arange(len(fp))]):
         own, met = np.flatnonzero(label == g), set()
+        own = own[np.argsort(t[own], kind="stable")]
         for i in own:
             if len(own) > ALL_PAIRS and i in met:
                 continue
             near = own[np.bitwise_count(x[own] ^ x[i]) <= bits]
             met.update(near.tolist())
-            near = near[near > i] if len(own) <= ALL_PAIRS else near[near != i]
+            near = near[t[near] > t[i]] if len(own) <= ALL_PAIRS else near[near != i]
             u += [int(i)] * len(near)
             v += near.tolist()
     return u, v
@@ -279,7 +281,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         u, v = [], []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if j - i > 1 and own[3][i:j].any():
-                a, b = candidate_pairs(own[1][i:j], own[3][i:j], CANDIDATE_BITS)
+                a, b = candidate_pairs(own[1][i:j], own[3][i:j], own[2][i:j], CANDIDATE_BITS)
                 u.append(own[2][i:j][a] if a else own[2][:0])
                 v.append(own[2][i:j][b] if b else own[2][:0])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
