@@ -190,8 +190,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4) -> Data
 
 #: Fingerprints of a text in near_copies, and bits at which two of one kind make a candidate.
 KINDS, CANDIDATE_BITS = 3, 12
-#: Up to so many texts of an anchor's group meet in all pairs; in larger ones each meets the group's leaders.
+#: Up to so many texts of an anchor's group meet in all pairs at once; larger groups take rounds.
 ALL_PAIRS = 6
+#: In each round after the first a text of a larger group meets so many times as many others.
+MORE = 8
 
 
 def word_sets(text: bytes) -> tuple[int, list[int]]:
@@ -213,26 +215,48 @@ def shingles(text: bytes, words: int) -> bytes:
     return np.unique(np.array(h, np.uint32)).tobytes()
 
 
-def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[list[int], list[int]]:
-    """Places of an anchor's pairs to compare: all near pairs of a small group, else near pairs with leaders.
+def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, root: np.ndarray, bits: int, most: int = 0, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of an anchor's near pairs of different roots, whether each is of a large group, and the places of groups with pairs left over.
 
-    A leader meets all that are near it; each text not near an earlier leader becomes one, in the order of t, so
-    that a group has the same leaders at most of its anchors and its pairs stay as many as its texts, times a few.
+    A small group gives all its pairs. In a large one, while most is 0, leaders meet all that are near them: each text not near
+    an earlier leader becomes one, in the order of t. Else each text outside the group's largest root meets most others, the
+    largest roots' first; every pair of different roots has such a text, so nothing is left over once most reaches the group's size.
     """
-    label, u, v = groups_at(fp, home, bits, block), [], []
+    label, u, v, dense, left = groups_at(fp, home, bits, block), [], [], [], []
     x = fp.view(np.uint64)
     for g in np.unique(label[label != np.arange(len(fp))]):
-        own, met = np.flatnonzero(label == g), set()
-        own = own[np.argsort(t[own], kind="stable")]
-        for i in own:
-            if len(own) > ALL_PAIRS and i in met:
+        own = np.flatnonzero(label == g)
+        _, kind, size = np.unique(root[own], return_inverse=True, return_counts=True)
+        if len(size) == 1:
+            continue
+        kind = kind.ravel()
+        large = len(own) > ALL_PAIRS
+        if large and most:
+            order = np.lexsort((t[own], kind, -size[kind]))
+            own, kind = own[order], kind[order]
+            minor, over = own[kind != kind[0]], False
+        else:
+            own = own[np.argsort(t[own], kind="stable")]
+            minor, over = own, large
+        met: set[int] = set()
+        for i in minor:
+            if large and not most and i in met:
                 continue
-            near = own[np.bitwise_count(x[own] ^ x[i]) <= bits]
-            met.update(near.tolist())
-            near = near[t[near] > t[i]] if len(own) <= ALL_PAIRS else near[near != i]
-            u += [int(i)] * len(near)
-            v += near.tolist()
-    return u, v
+            near = own[(np.bitwise_count(x[own] ^ x[i]) <= bits) & (root[own] != root[i])]
+            if not large:
+                near = near[t[near] > t[i]]
+            elif most:
+                over |= len(near) > most
+                near = near[:most]
+            else:
+                met.update(near.tolist())
+            u.append(np.full(len(near), i))
+            v.append(near)
+            dense.append(np.full(len(near), large))
+        if over:
+            left.append(own)
+    whole = lambda of, kind: np.concatenate(of) if of else np.zeros(0, kind)
+    return whole(u, int), whole(v, int), whole(dense, bool), whole(left, int)
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -240,6 +264,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; each
     pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
+    A large group of candidates takes rounds: what is verified is contracted, and texts not yet linked meet more of the others,
+    until each near pair of the group is linked or compared.
     Null and wordless texts are one text, texts of fewer words one shingle. A text that only rows without doc_id
     have is linked with equal ones only. An empty table gives no rows.
     """
@@ -255,7 +281,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS)
+                t, p, root = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS), b.column(2).to_numpy()
                 for k in range(KINDS):
                     order = np.argsort(p[:, k], kind="stable")
                     distinct, first, count = np.unique(p[order, k], return_index=True, return_counts=True)
@@ -263,40 +289,51 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                     place = np.searchsorted(distinct, who)
                     times = count[place]
                     of = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at | k << 24, times)), pa.array(np.repeat(who, times)), pa.array(t[order][of]), pa.array(np.repeat(home, times))], ["at", "fp", "t", "home"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for b in batches:
-            own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at | k << 24, times)), pa.array(np.repeat(who, times)), pa.array(t[order][of]), pa.array(np.repeat(home, times)), pa.array(root[order][of])], ["at", "fp", "t", "home", "root"])
+
+    def candidates(texts: DataFrame, most: int) -> DataFrame:
+        """u, v and whether a large group gave them; u = v marks a text of a group with pairs left over."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest: list[np.ndarray] | None = None
+            for b in batches:
+                own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                if rest:
+                    own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+                cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
+                rest = [x[cut[-1] :] for x in own]
+                yield found(own, cut.tolist())
             if rest:
-                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
-            rest = [x[cut[-1] :] for x in own]
-            yield found(own, cut.tolist())
-        if rest:
-            yield found(rest, [0, len(rest[0])])
-
-    def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
-        u, v = [], []
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if j - i > 1 and own[3][i:j].any():
-                a, b = candidate_pairs(own[1][i:j], own[3][i:j], own[2][i:j], CANDIDATE_BITS)
-                u.append(own[2][i:j][a] if a else own[2][:0])
-                v.append(own[2][i:j][b] if b else own[2][:0])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    spread = known.select("t", "prints").dropDuplicates(["t"]).mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean")
-    pairs = spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint")
-    pairs = stored(pairs.where("u != v").distinct())
+                yield found(rest, [0, len(rest[0])])
+
+        def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
+            u, v, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if j - i > 1 and own[3][i:j].any():
+                    _, fp, t, home, root = (x[i:j] for x in own)
+                    a, b, large, left = candidate_pairs(fp, home, t, root, CANDIDATE_BITS, most)
+                    u += [t[a], t[left]]
+                    v += [t[b], t[left]]
+                    dense += [large, np.ones(len(left), bool)]
+            u, v, dense = (np.concatenate(x) for x in (u, v, dense))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(dense)], ["u", "v", "dense"])
+
+        spread = texts.select("t", "prints", "root").mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean, root bigint")
+        return spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint, dense boolean").distinct()
+
+    own = known.select("t", "prints").dropDuplicates(["t"])
+    met = stored(candidates(own.withColumn("root", F.col("t")), 0))
+    pairs = met.where("u != v")
+    # Of a large group's leaders a text meets the first one only, whatever the anchor; later rounds take the others.
+    first = pairs.where("dense").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    tested = stored(pairs.where("NOT dense").select("u", "v").union(first).distinct())
 
     def pack(texts: list[bytes]) -> dict:
         z = zstandard.ZstdCompressor(level=1)
         return {"z": pa.array([z.compress(t) for t in texts], pa.binary())}
 
     # The texts of candidates only, one for each word sequence.
-    wanted = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
+    wanted = met.select(F.col("u").alias("t")).union(met.select(F.col("v").alias("t"))).distinct()
     one = known.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     texts = by_text(docs, pack, "z binary").join(one, "doc_id").select("t", "z")
 
@@ -310,7 +347,6 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             yield out.filter(pa.array(same, pa.bool_()))
 
     sets = stored(texts.mapInArrow(shingle, "t bigint, s binary").dropDuplicates(["t"]))
-    both = pairs.join(sets.select(F.col("t").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("t").alias("v"), F.col("s").alias("sv")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,8 +357,18 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                 ok.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    linked = both.select("u", "v", "su", "sv").mapInArrow(verify, "u bigint, v bigint")
-    root = components(linked).distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("t").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("t").alias("v"), F.col("s").alias("sv")), "v")
+        return both.select("u", "v", "su", "sv").mapInArrow(verify, "u bigint, v bigint")
+
+    root, most = stored(components(verified(tested)).distinct()), MORE
+    while not (left := met.where("u = v").select(F.col("u").alias("t"))).isEmpty():
+        texts = own.join(left, "t", "left_semi").join(root.withColumnRenamed("node", "t"), "t", "left")
+        met = stored(candidates(texts.select("t", "prints", F.coalesce("root", "t").alias("root")), most))
+        more = stored(met.where("u != v").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
+        stars = root.where("node != root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+        root = stored(components(stars.union(verified(more))).distinct())
+        tested, most = tested.union(more), most * MORE
     first = known.groupBy("t").agg(F.min("doc_id").alias("first"))
     named = first.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "first", F.coalesce("root", "t").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -152,6 +152,35 @@ def test_near_copies_match_brute_force(spark, docs, empty):
     assert simhash.near_copies(empty).collect() == []
 
 
+def edited_families(rng, families=3, copies=60, words=200, edits=4):
+    """Texts of families, the original among its copies: 0.81 from it to each copy, about 0.66 between copies."""
+    out = []
+    for f in range(families):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(words)]
+        out.append(" ".join(base))
+        for c in range(copies):
+            own = list(base)
+            for i in rng.sample(range(4, words - 4, 5), edits):
+                own[i] = f"new{f}x{c}x{i}"
+            out.append(" ".join(own))
+    rng.shuffle(out)
+    return out
+
+
+def test_near_copies_link_families_through_texts_that_are_no_leaders(spark):
+    data = edited_families(random.Random(3))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) == 3
+    table = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table).collect()} == dict(enumerate(root))
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(0, 2**32))
 def test_anchors_bring_all_links_together(base, seed):
