@@ -23,8 +23,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from omiclake.llm.common import by_text, documents, stored
+from omiclake.llm.common import by_text, documents, raw, small_batches, stored
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -196,6 +197,12 @@ ALL_PAIRS = 6
 MORE = 8
 
 
+def hash_of_words(text: bytes) -> int:
+    """Of the lower-cased words in order, as a signed long."""
+    h = xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+    return h - (h >> 63 << 64)
+
+
 def word_sets(text: bytes) -> tuple[int, list[int]]:
     """A hash of the lower-cased words in order, and KINDS fingerprints over the distinct ones."""
     w = text.lower().split()
@@ -266,8 +273,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
     A large group of candidates takes rounds: what is verified is contracted, and texts not yet linked meet more of the others,
     until each near pair of the group is linked or compared.
-    Null and wordless texts are one text, texts of fewer words one shingle. A text that only rows without doc_id
-    have is linked with equal ones only. An empty table gives no rows.
+    Null and wordless texts are one text, texts of fewer words one shingle. Beside them come t, the hash of the row's words, and
+    root, which tells components apart where no row has a doc_id. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -330,23 +337,19 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     def pack(texts: list[bytes]) -> dict:
         z = zstandard.ZstdCompressor(level=1)
-        return {"z": pa.array([z.compress(t) for t in texts], pa.binary())}
+        return {"t": pa.array([hash_of_words(t) for t in texts], pa.int64()), "z": pa.array([z.compress(t) for t in texts], pa.binary())}
 
-    # The texts of candidates only, one for each word sequence.
+    # The texts of candidates only, one for each word sequence, whatever the rows' doc_id.
     wanted = met.select(F.col("u").alias("t")).union(met.select(F.col("v").alias("t"))).distinct()
-    one = known.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("doc_id").alias("doc_id"))
-    texts = by_text(docs, pack, "z binary").join(one, "doc_id").select("t", "z")
+    texts = by_text(docs, pack, "t bigint, z binary", ()).dropDuplicates(["t"]).join(wanted, "t", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            texts = [d.decompress(z) for z in b.column(1).to_pylist()]
-            # A doc_id that repeats with another text isn't the text that is meant.
-            same = [np.uint64(t & (1 << 64) - 1) == xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for t, x in zip(b.column(0).to_pylist(), texts, strict=True)]
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words) for x in texts], pa.binary())], ["t", "s"])
-            yield out.filter(pa.array(same, pa.bool_()))
+            own = [shingles(d.decompress(z), words) for z in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["t", "s"])
 
-    sets = stored(texts.mapInArrow(shingle, "t bigint, s binary").dropDuplicates(["t"]))
+    sets = stored(texts.mapInArrow(shingle, "t bigint, s binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,13 +375,31 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = known.groupBy("t").agg(F.min("doc_id").alias("first"))
     named = first.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "first", F.coalesce("root", "t").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return known.join(named.join(least, "root").select("t", "component_id"), "t").select("doc_id", "component_id")
+    return known.join(named.join(least, "root").select("t", "root", "component_id"), "t").select("doc_id", "component_id", "t", "root")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that are the first of their component; rows that repeat a doc_id go too."""
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: of its smallest doc_id (null only where there is no other), and there of the smallest t.
+
+    Groups of near_copies name texts, so that rows without doc_id, or that share one with another text, stand for themselves.
+    Groups without t and root name documents by doc_id alone.
+    """
+    if "root" not in groups.columns:
+        keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+        return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m"))
+    keep = least.select(F.col("m.doc_id").alias("_kept"), F.col("m.t").alias("_text"))
+    small_batches(docs.sparkSession)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [hash_of_words(t) for t in raw(b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.int64())], [*b.schema.names[:-1], "_t"])
+
+    named = docs.withColumn("_t", F.col("text").cast("string"))
+    named = named.mapInArrow(add, StructType([*docs.schema.fields, StructField("_t", LongType())]))
+    same = (named["_t"] == keep["_text"]) & named["doc_id"].eqNullSafe(keep["_kept"])
+    return named.join(keep, same, "left_semi").dropDuplicates(["_t"]).drop("_t")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

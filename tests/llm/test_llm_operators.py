@@ -181,6 +181,19 @@ def test_near_copies_link_families_through_texts_that_are_no_leaders(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table).collect()} == dict(enumerate(root))
 
 
+def test_one_of_each_keeps_texts_that_share_a_doc_id_or_have_none(spark):
+    rng = random.Random(6)
+    base = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120)] for _ in range(6)]
+    own = [" ".join(b) for b in base]
+    near = " ".join(base[1][:60] + ["edited"] + base[1][61:])
+    data = [(None, own[0]), (None, own[1]), (None, near), (None, own[0].upper()), (3, own[2]), (3, own[3]), (3, own[3]), (4, own[4]), (None, own[4]), (None, own[5]), (5, own[5] + " end"), (6, None), (None, " ")]
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash.one_of_each(table, simhash.near_copies(table)).collect()))
+    one_of = {(0, own[0]), (0, own[0].upper())}, {(0, own[1]), (0, near)}, {(3, own[2])}, {(3, own[3])}, {(4, own[4])}, {(5, own[5] + " end")}, {(6, "")}
+    assert len(kept) == len(one_of)
+    assert all(len(x & set(kept)) == 1 for x in one_of)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(0, 2**32))
 def test_anchors_bring_all_links_together(base, seed):
