@@ -99,6 +99,15 @@ def test_lm_probabilities_of_words_do_not_exceed_one():
     assert (10 ** model.bits(short, np.zeros(len(short), np.int64))).sum() <= 1
 
 
+def test_lm_counts_the_mixing_part_whole_and_in_its_slots(spark):
+    rows = [("both", 0, 500, 3000), ("counted", 0, 70, 0), ("mixonly", 0, 0, 900), ("\n", 0, 20, 65)]
+    model = lm.train(spark.createDataFrame(rows, "word string, kind int, fit bigint, mix bigint"))
+    t = lm.Tokens([w.encode() for w, *_ in rows], np.zeros(len(rows), np.int64))
+    assert model.map.sum() == 8 * sum(rows[w][3] for w in t.word)
+    assert all((model.seen[t.slots(bit, slice(None))[0]] > 0).all() for bit in range(8))
+    assert model.in_class[0] == sum(r[2] + r[3] for r in rows)
+
+
 def reference_fingerprint(t):
     import xxhash
 
