@@ -450,6 +450,11 @@ def sam_sort(spark, d):
     return first.select("read_index", F.row_number().over(Window.orderBy("chromosome", "position", "read_index")).alias("place"))
 
 
+@query("SELECT read_index, row_number() OVER (ORDER BY chromosome, position, read_index) AS place FROM reads", "reads")
+def sam_sort_all(spark, d):
+    return S.coordinate_places(view(spark, d, "reads"))
+
+
 @query("SELECT r_name AS run_name, coalesce(string_agg(n_name, ';' ORDER BY n_nationkey), '') AS derived_files FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 12 GROUP BY 1")
 def isa_derived_list(spark, d):
     runs = table(spark, d, "region").select(F.col("r_name").alias("run_name"), "r_regionkey")

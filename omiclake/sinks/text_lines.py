@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from omiclake.operators.relations import deduplicated_names
+from omiclake.session import stored
 
 
 def fasta_index(chromosomes: DataFrame, width: int = 60) -> DataFrame:
@@ -44,6 +47,15 @@ def coordinate_sorted(reads: DataFrame) -> DataFrame:
     return reads.orderBy(F.col("chromosome") == "*", "chromosome", "position", "read_index")
 
 
+def coordinate_places(reads: DataFrame) -> DataFrame:
+    """read_index and place, from 1, of every read in coordinate order; only the partitions' sizes reach the driver."""
+    placed = stored(coordinate_sorted(reads).select("read_index", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before = dict(zip((r["_part"] for r in sizes), accumulate((r["n"] for r in sizes), initial=1)))
+    first = F.lit(0) if not before else F.element_at(F.create_map(*(F.lit(x).cast("long") for p in before.items() for x in p)), F.col("_part").cast("long"))
+    return placed.select("read_index", (F.col("_id") - F.col("_part").cast("long") * (1 << 33) + first).cast("long").alias("place"))
+
+
 def fastq_lines(reads: DataFrame, offset: int = 33) -> DataFrame:
     """read_index and value: four lines of each read; 0xFF is quality 0, repeated names carry their ordinal. Needs array<int> qualities."""
     code = F.array_join(F.transform("quality_values", lambda q: F.char(F.when(q == 255, 0).otherwise(q) + offset)), "")

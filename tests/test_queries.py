@@ -52,3 +52,9 @@ def test_entry_point_works_without_the_llm_part():
     root = Path(__file__).parents[1]
     code = "import sys; sys.modules['omiclake.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'index_query' in q and 'pipeline' not in q; assert e.oracle_sql().keys() <= q.keys()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_the_sort_gives_every_read_its_place(spark):
+    got = {r["read_index"]: r["place"] for r in catalog.sam_sort_all(spark, FOLDER).collect()}
+    assert len(got) == catalog.view(spark, FOLDER, "reads").count() > 500
+    assert sorted(got.values()) == list(range(1, len(got) + 1))
