@@ -194,6 +194,13 @@ def mask_regions_overlap(spark, d):
     return N.masked_reads(view(spark, d, "reads"), regions)
 
 
+@query(f", own AS (SELECT *, {SPAN} AS span FROM reads) SELECT DISTINCT read_index FROM own JOIN (SELECT 'chr' || CAST(s_suppkey % 3 + 1 AS VARCHAR) AS c, s_suppkey * 97 % 10000 AS s, s_suppkey * 97 % 10000 + 40 AS e FROM supplier) ON c = chromosome AND position <= e AND position + greatest(span, 1) - 1 >= s", "reads")
+def mask_regions_overlap_all(spark, d):
+    s = table(spark, d, "supplier")
+    regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
+    return N.masked_reads(view(spark, d, "reads"), regions)
+
+
 @query("SELECT run_name, read_index, CASE WHEN read_index % 400 < 360 THEN read_index // 400 END AS block FROM reads", "reads")
 def block_lookup(spark, d):
     reads = view(spark, d, "reads")

@@ -58,3 +58,13 @@ def test_the_sort_gives_every_read_its_place(spark):
     got = {r["read_index"]: r["place"] for r in catalog.sam_sort_all(spark, FOLDER).collect()}
     assert len(got) == catalog.view(spark, FOLDER, "reads").count() > 500
     assert sorted(got.values()) == list(range(1, len(got) + 1))
+
+
+def test_mask_regions_come_from_all_suppliers(spark):
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = sorted(r[0] for r in catalog.mask_regions_overlap_all(spark, folder).collect())
+    assert got == sorted(r[0] for r in c.sql(catalog.ORACLES["mask_regions_overlap_all"]).fetchall())
+    assert len(got) > catalog.mask_regions_overlap(spark, folder).count()
