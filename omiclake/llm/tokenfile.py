@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omiclake.llm.bpe import LATIN, PATTERN, byte_characters
+from omiclake.llm.bpe import LATIN, byte_characters
 from omiclake.llm.common import Once, documents, raw, scratch, small_batches
 
 END_ID = 2
 #: Bits of a bitmap between two entries of its rank directory.
 STRIDE = 512
-#: Remembered pieces of a worker; forgotten together when there are so many.
-REMEMBERED = 400_000
+#: Remembered pieces of a worker: when there are so many they grow old, and those that grew old before are forgotten.
+REMEMBERED = 350_000
 SEGMENT = "part int, segment int, first_token bigint, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, codes binary"
 
 
@@ -84,24 +85,43 @@ def token_at(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], i: int) ->
     return out
 
 
+def _characters(kind: str) -> str:
+    """The characters below LATIN whose category begins with this letter, escaped for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(ord(LATIN)) if unicodedata.category(chr(c))[0] == kind)
+
+
+def below_latin() -> re.Pattern:
+    """The byte-level pattern in the standard library's terms; equal to it on texts of characters below LATIN."""
+    letters, numbers, space = _characters("L"), _characters("N"), " \t\n\x0b\x0c\r\x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Tokenizer:
-    """The tokenizers library over one file. A text is cut where no pre-token can reach over, its pieces are remembered."""
+    """The tokenizers library over one file. A text is cut where no pre-token can reach over, its pieces are remembered.
+
+    literal: strings of special tokens in a text are ordinary text; by default they give their ids, as in the library.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         import tokenizers
 
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        self.special = [] if literal else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
         self.tokenize = self.whole.model.tokenize
-        self.pattern = regex.compile(PATTERN)
         self.cuttable = self._cuttable()
         self.odd = re.compile(r" \s")
+        self.find = below_latin().findall
+        self.beyond = re.compile(f"[^\x00-{chr(ord(LATIN) - 1)}]").search
         self.mapped = "".join(byte_characters())
         self.known: dict[str, bytes] = {}  # what follows a space
         self.pieces: dict[str, bytes] = {}
+        self._grow_old()
+
+    def _grow_old(self) -> None:
+        self.old, self.known, self.pieces = self.known, {"": self._ids("Ġ")} if self.cuttable else {}, {}
 
     def _cuttable(self) -> bool:
         """Only a byte-level pre-tokenizer with the usual pattern is known to cut at a space before a word."""
@@ -112,48 +132,56 @@ class Tokenizer:
         ids = [t.id for t in self.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _piece(self, piece: str) -> bytes:
-        """A pre-token's ids; one that begins with a space is known by what follows it."""
-        spaced = piece[0] == " " and len(piece) > 1
-        key = piece[1:] if spaced else piece
-        table = self.known if spaced else self.pieces
-        ids = table.get(key)
-        if ids is None:
-            table[key] = ids = self._ids(piece.encode().decode("latin-1").translate(self.mapped))
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        """What follows the last space may hold several pre-tokens. Beyond Latin, the library's own pre-tokenizer decides."""
-        if not chunk.isascii() and max(chunk) >= LATIN:
-            return b"".join([self._ids(w) for w, _ in self.split(chunk)])
-        return b"".join([self._piece(w) for w in self.pattern.findall(chunk)])
-
-    def _after_space(self, chunk: str) -> bytes:
-        """Letters after a space are one pre-token with it."""
-        if chunk.isalpha():
-            if chunk.isascii():
-                return self._ids("Ġ" + chunk)
-            if max(chunk) < LATIN:
-                return self._ids("Ġ" + chunk.encode().decode("latin-1").translate(self.mapped))
-        return self._chunk(" " + chunk)
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens; one that begins with a space is known by what follows it."""
+        known, others = self.known, self.pieces
+        out = [known.get(p[1:]) if p[0] == " " else others.get(p) for p in pieces]
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    p = pieces[i]
+                    out[i] = ids = self._ids(p.encode().decode("latin-1").translate(self.mapped))
+                    if p[0] == " ":
+                        known[p[1:]] = ids
+                    else:
+                        others[p] = ids
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remembers what follows spaces, all at once: each chunk's first pre-token, and no other, begins with a space."""
+        pieces = self.find(" " + " ".join(chunks))
+        ids = self._found(pieces)
+        start = [i for i, p in enumerate(pieces) if p[0] == " "]
+        for c, i, j in zip(chunks, start, [*start[1:], len(pieces)], strict=True):
+            if j > i + 1:
+                self.known[c] = b"".join(ids[i:j])
+
+    def _library(self, chunk: str) -> bytes:
+        """Beyond Latin the library's own pre-tokenizer decides."""
+        return b"".join([self._ids(w) for w, _ in self.split(chunk)])
 
     def encode(self, text: str) -> bytes:
         """The whole text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.cuttable or self.odd.search(text):  # a space between two white-space characters may lie within a pre-token
+        # A space between two white-space characters may lie within a pre-token; special tokens may lie anywhere.
+        if not self.cuttable or self.odd.search(text) or any(t in text for t in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.pieces.clear()
-        cut = text.split(" ")
+        if len(self.known) > REMEMBERED:
+            self._grow_old()
+        known, cut = self.known, text.split(" ")
         out = list(map(known.get, cut))
-        out[0] = self._chunk(cut[0]) if cut[0] else b""
+        simple = text.isascii() or not self.beyond(text)
+        out[0] = (b"".join(self._found(self.find(cut[0]))) if simple or not self.beyond(cut[0]) else self._library(cut[0])) if cut[0] else b""
         if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    known[cut[i]] = out[i] = self._after_space(cut[i])
+            new = list({c for c, ids in zip(cut, out, strict=True) if ids is None})
+            known |= {c: ids for c, ids in zip(new, map(self.old.get, new), strict=True) if ids is not None}
+            if not simple:
+                known |= {c: self._library(" " + c) for c in filter(self.beyond, new) if c not in known}
+            new = [c for c in new if c not in known]
+            if new:
+                self._learn(new)
+            out = [known[c] if ids is None else ids for c, ids in zip(cut, out, strict=True)]
         return b"".join(out)
 
 
