@@ -1,12 +1,13 @@
 """Operator 4: document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is a weighted set: its words' counts, words hashed to 32,768 terms. For each term and each of 64
-samples r and c are Gamma(2, 1) and b uniform in (0, 1), fixed by hashes. A term of weight w draws t = floor(ln w / r + b) and
-ln a = ln c - r (t - b + 1); a sample keeps the term and t of the least a. Two texts agree in a
-sample with a probability equal to the generalised Jaccard similarity of their weighted terms.
-
-The gammas are a table of fixed size (32,768 rows of 192 floats, 25 MB), broadcast. Documents are shuffled once, to buckets of
-neighbouring ids; words are counted, sampled and compared within them.
+A text is a weighted set: its distinct words (by 64-bit hash) and their counts. For each word and each of 64
+samples r and c are Gamma(2, 1) and b uniform in (0, 1), fixed by the hash. A word of weight w draws t = floor(ln w / r + b) and
+ln a = ln c - r (t - b + 1); a sample keeps the word and t of the least a. Two texts agree in a
+sample with a probability equal to the generalised Jaccard similarity of their weighted words.
+
+r, c and b of a word come from three tables of fixed size (32,768 rows of 64 floats, 8 MB each, broadcast) by three different
+parts of its hash, 15 bits each, so that two words have all three alike only by equal 45 bits. Documents are shuffled once, to
+buckets of neighbouring ids; words are counted, sampled and compared within them.
 """
 
 from __future__ import annotations
@@ -16,47 +17,48 @@ from pyspark.sql import functions as F
 
 from omiclake.llm.common import documents
 
-TERMS = 1 << 15
+#: Rows of a table, as a power of two, and the lowest bit of a word's hash that names the row in each.
+TABLE, PARTS = 15, {"r": 49, "lc": 34, "b": 19}
 SAMPLES = 64
-#: Fixed-point scale of ln a, and bits for the term and t below it: 15 and 15, and one spare.
+#: Fixed-point scale of ln a, and the bits below it that tell word and t.
 SCALE, LOW = float(1 << 26), 31
+#: Buckets of the first level, and of the second in each, at most.
+COARSE, FINE = 256, 1024
 
 
 def _uniform(name: str, sample: Column) -> Column:
-    h = F.xxhash64(F.lit(name), F.col("term"), sample)
+    h = F.xxhash64(F.lit(name), F.col("id"), sample)
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def gammas(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
-    """term and arrays r, ln c and b of one number for each sample."""
+def gammas(spark: SparkSession, name: str, samples: int = SAMPLES) -> DataFrame:
+    """_name, the row's number, and the array r, lc (ln c) or b of one number for each sample."""
     ks = F.sequence(F.lit(0), F.lit(samples - 1))
     gamma = lambda name, k: -(F.log(_uniform(f"{name}1", k)) + F.log(_uniform(f"{name}2", k)))
-    table = spark.range(0, TERMS, 1, 8).select(F.col("id").cast("int").alias("term"))
-    return table.select(
-        "term",
-        F.transform(ks, lambda k: gamma("r", k).cast("float")).alias("r"),
-        F.transform(ks, lambda k: F.log(gamma("c", k)).cast("float")).alias("lc"),
-        F.transform(ks, lambda k: _uniform("b", k).cast("float")).alias("b"),
-    )
+    draw = {"r": lambda k: gamma("r", k), "lc": lambda k: F.log(gamma("c", k)), "b": lambda k: _uniform("b", k)}[name]
+    return spark.range(0, 1 << TABLE, 1, 8).select(F.col("id").cast("int").alias(f"_{name}"), F.transform(ks, lambda k: draw(k).cast("float")).alias(name))
 
 
 def signatures(texts: DataFrame, keys: list[str], carry: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, the long columns carry, and sig, an array of ints that encode term and t; null for texts without words.
+    """keys, the long columns carry, and sig, an array of ints that encode word and t; null for texts without words.
 
     texts must be partitioned by (some of) keys already, or is shuffled; keys name a text, and carry goes with them.
     """
+    spark = texts.sparkSession
     words = texts.select(*keys, *carry, F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("_w"))
-    term = F.when(F.col("_w") == "", F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("_w"), 49).cast("int"))
     kept = [F.max(c).alias(c) for c in carry]
-    counts = words.withColumn("term", term).groupBy(*keys, "term").agg(F.count("*").alias("n"), *kept)
-    drawn = counts.join(F.broadcast(gammas(texts.sparkSession, samples)), "term", "left").withColumn("lw", F.log(F.col("n").cast("double")))
-    least = []
+    drawn = words.withColumn("_h", F.when(F.col("_w") != "", F.xxhash64("_w"))).groupBy(*keys, "_h").agg(F.count("*").alias("n"), *kept)
+    for name, low in PARTS.items():
+        row = F.shiftrightunsigned("_h", low).bitwiseAND(F.lit((1 << TABLE) - 1)).cast("int")
+        drawn = drawn.withColumn(f"_{name}", row).join(F.broadcast(gammas(spark, name, samples)), f"_{name}", "left").drop(f"_{name}")
+    drawn = drawn.withColumn("lw", F.log(F.col("n").cast("double")))
+    mask, least = F.lit((1 << LOW) - 1), []
     for k in range(samples):
-        r, lc, b = (F.get(F.col(c), F.lit(k)) for c in ("r", "lc", "b"))
+        r, lc, b = (F.get(F.col(c), F.lit(k)) for c in PARTS)
         t = F.floor(F.col("lw") / r + b)
         a = ((lc - r * (t - b + 1)) * SCALE).cast("long")
-        least.append(F.min(F.shiftleft(a, LOW).bitwiseOR(F.shiftleft(F.col("term").cast("long"), 15)).bitwiseOR(t.bitwiseAND(F.lit(32767)))).alias(f"m{k}"))
-    sig = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit((1 << LOW) - 1)).cast("int") for k in range(samples)])
+        least.append(F.min(F.shiftleft(a, LOW).bitwiseOR(F.col("_h").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(mask))).alias(f"m{k}"))
+    sig = F.array(*[F.col(f"m{k}").bitwiseAND(mask).cast("int") for k in range(samples)])
     return drawn.groupBy(*keys).agg(*kept, *least).select(*keys, *carry, F.when(F.col("m0").isNotNull(), sig).alias("sig"))
 
 
@@ -72,14 +74,27 @@ def hexed(sig: Column, samples: int = SAMPLES) -> Column:
     return F.coalesce(F.array_join(digits, ""), F.lit("0000" * samples))
 
 
-def bounds(docs: DataFrame, rows: int = 512, most: int = 4096) -> tuple[list[int], int]:
-    """First ids of buckets 1 and up, of about so many rows each, and the number of rows; ids only are read."""
-    n = docs.count()
-    k = min(most, max(1, -(-n // rows)))
-    if k == 1:
-        return [], n
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / k for i in range(1, k)], 20 * k)).first()[0] or []
-    return sorted(set(cuts)), n
+def with_bucket(docs: DataFrame, rows: int = 512) -> DataFrame:
+    """docs with _bucket: about so many rows of neighbouring ids, numbered in ascending order; null ids are in the first.
+
+    Ids are cut at quantiles, and each part again at its own; only first ids of buckets reach the driver, COARSE * FINE at
+    most. Beyond that buckets grow, and their windows spill.
+    """
+    ident = F.col("doc_id").cast("long")
+    k = max(1, -(-docs.count() // rows))
+    upper = min(k, COARSE)
+    cut = lambda n: F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n)
+    place = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("_id"))), F.lit(0))
+    ids = docs.select(ident.alias("_id"))
+    first = (ids.agg(cut(upper)).first()[0] or []) if upper > 1 else []
+    coarse = place(F.lit(sorted(set(first)))) if first else F.lit(0)
+    docs = docs.withColumn("_id", ident).withColumn("_part", F.when(F.col("_id").isNull(), F.lit(0)).otherwise(coarse).cast("int"))
+    lower = min(FINE, -(-k // COARSE))
+    if lower == 1:
+        return docs.withColumn("_bucket", F.col("_part")).drop("_id", "_part")
+    fine = ids.withColumn("_part", coarse.cast("int")).groupBy("_part").agg(F.array_distinct(cut(lower)).alias("_cuts"))
+    docs = docs.join(F.broadcast(fine), "_part", "left")
+    return docs.withColumn("_bucket", (F.col("_part") * lower + F.when(F.col("_id").isNull(), F.lit(0)).otherwise(place(F.col("_cuts")))).cast("int")).drop("_id", "_part", "_cuts")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -87,13 +102,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows go by doc_id, null first, then by text. Each bucket also holds the first row of the next one, marked extra.
     """
-    cuts, _ = bounds(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    own = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = docs.select("doc_id", text, F.coalesce(own, F.lit(0)).cast("int").alias("_bucket"))
-    rows = rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_bucket")))
+    rows = with_bucket(docs.select("doc_id", text))
     # The smallest id of each bucket, and whose bucket it closes; ids only.
-    first = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(own).cast("int").alias("b")).groupBy("b").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null"))
+    first = rows.groupBy(F.col("_bucket").alias("b")).agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null"))
     found = sorted((r["b"], None if r["null"] else r["id"]) for r in first.collect())
     if not found:
         return rows.select("_bucket", F.lit(0).alias("_at"), "doc_id", "text", F.col("text").alias("next"), F.lit(False).alias("extra"))
