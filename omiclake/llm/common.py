@@ -16,6 +16,14 @@ from omiclake.session import scratch, stored  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,11 +1,12 @@
 """Operator 10: removes every byte covered by a long string that starts anywhere else, by suffix arrays.
 
 No single machine can sort all suffixes, so windows that may be equal are brought together first. Every window of
-400 bytes has an anchor, its 128-byte string of the least hash (of equals, the first), and equal windows have equal
-anchors in the same place. A text's windows fall into runs of one anchor. Where an anchor occurs in one run only, no window of
-it repeats; where all its runs are equal, all do. The other anchors' distinct runs, with how often each occurs,
-are sorted by the suffix array (linear grouping, module suffixes), whose neighbours tell which windows repeat.
-An anchor with very many distinct runs would make one task hold them all; its windows are counted one by one
+the shortest length has an anchor, its 96-byte string of the least hash (of equals, the first), and equal windows have equal
+anchors in the same place. A text's windows fall into runs of one anchor; a run has the bytes of its longest windows. Where an
+anchor occurs in one run only, no window of it repeats, and nothing more is done with it; where all its runs are equal, all do.
+The other anchors' distinct runs, with how often each occurs,
+are sorted by the suffix array (linear grouping, module suffixes), whose neighbours tell which windows repeat, of every length
+asked for. An anchor with very many distinct runs would make one task hold them all; its windows are counted one by one
 instead, by their hashes.
 
 Equal texts are one text with a count: what is removed depends on the text alone. Texts travel compressed.
@@ -23,11 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omiclake.llm.common import documents, mixed, prefix_hash, raw, small_batches, stored, window_hash
+from omiclake.llm.common import documents, fresh, mixed, prefix_hash, raw, small_batches, stored, window_hash
 from omiclake.llm.suffixes import repeated_windows
 
 LENGTH = 400
-ANCHOR = 128
+#: The shortest passage that the pipeline removes, and that the query counts beside its own length: 50 words of four letters and a space.
+PASSAGE = 250
+ANCHOR = 96
 #: Distinct runs of an anchor that one suffix array takes; beyond, windows are counted by hash.
 CROWD = 5000
 #: Bytes that go into one suffix array, about.
@@ -45,8 +48,8 @@ def least_in_windows(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[: n - width + 1], to[width - 1 : n])
 
 
-def runs(text: bytes, length: int = LENGTH, anchor: int = ANCHOR, block: int = 1 << 23) -> tuple[np.ndarray, ...]:
-    """Hash of the anchor, hash of the run's bytes, first and last window start, and anchor start, of each run of windows."""
+def runs(text: bytes, length: int = LENGTH, anchor: int = ANCHOR, longest: int = 0, block: int = 1 << 23) -> tuple[np.ndarray, ...]:
+    """Hash of the anchor, hash of the run's bytes (those of its longest windows), first and last window start, and anchor start, of each run of windows."""
     n = len(text)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
@@ -62,11 +65,11 @@ def runs(text: bytes, length: int = LENGTH, anchor: int = ANCHOR, block: int = 1
     a = np.concatenate(own)
     cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     s0, s1, a = cut, np.concatenate([cut[1:], [len(a)]]) - 1, a[cut]
-    ctx = mixed(window_hash(pre, s0, s1 + length) + mixed((a - s0).astype(np.uint64)))
+    ctx = mixed(window_hash(pre, s0, np.minimum(n, s1 + max(length, longest))) + mixed((a - s0 + ((s1 - s0) << 32)).astype(np.uint64)))
     return window_hash(pre, a, a + anchor), ctx, s0, s1, a
 
 
-def text_runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+def text_runs(texts: DataFrame, length: int, anchor: int, longest: int) -> DataFrame:
     """The runs of every text. A task gives those of a text that it meets again once more, so that they count as repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +79,7 @@ def text_runs(texts: DataFrame, length: int, anchor: int) -> DataFrame:
             for th, nb, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
                 met[th, nb] = met.get((th, nb), 0) + 1
                 if nb >= length and met[th, nb] <= 2:
-                    h, ctx, s0, s1, a = runs(t, length, anchor)
+                    h, ctx, s0, s1, a = runs(t, length, anchor, longest)
                     parts.append([h.view(np.int64), ctx.view(np.int64), np.full(len(h), th), np.full(len(h), nb), s0, s1, a])
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["h", "ctx", "th", "nb", "s0", "s1", "a"])
@@ -107,22 +110,27 @@ def zipped(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "th bigint, nb bigint, z binary" + more)
 
 
-def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
-    """th, nb and cover, an array of (start, end): the bytes of each text that a repeated window covers. Ranges may overlap."""
+def repeated_ranges(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = (LENGTH,), anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
+    """th, nb and cover, an array of (k, start, end): the bytes of each text that a repeated window of the k-th length covers. Ranges may overlap."""
+    length, longest = min(lengths), max(lengths)
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(t).alias("th"), F.octet_length(t).cast("long").alias("nb"), t.alias("text"))
-    every = stored(text_runs(texts, length, anchor))
-    # Counts are combined map-side; both joins may split a hot anchor, as nothing above them needs its rows together.
-    each = every.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min("th").alias("first"))
-    known = each.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("m")).where(F.col("all") > 1).drop("all")
-    status = each.join(known, "h").select("h", "ctx", "n", "first", "m")
-    again = every.join(status, ["h", "ctx"])
-    cover = again.where("n > 1").select("th", "nb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
+    every = stored(text_runs(texts, length, anchor, longest))
+    # Most anchors occur once: their runs go no further. Counts are combined map-side; joins may split a hot anchor, as
+    # nothing above them needs its rows together.
+    shared = every.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select("h")
+    own = stored(every.join(shared, "h"))
+    each = own.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min("th").alias("first"))
+    status = each.join(each.groupBy("h").agg(F.count("*").alias("m")), "h")
+    again = own.join(status, ["h", "ctx"])
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), (F.least(F.col("s1"), F.col("nb") - x) + x).alias("end"), F.lit(x).alias("x")) for k, x in enumerate(lengths)])
+    cover = again.where("n > 1").select("th", "nb", F.col("s0").alias("start"), F.inline(ends)).where("end - start >= x").select("th", "nb", "k", "start", "end")
 
     # One text stands for all that have an equal run; if it has the run twice, the search takes one of them.
     one = again.where((F.col("m") > 1) & ((F.col("n") == 1) | (F.col("th") == F.col("first"))))
     wanted = one.select("th", "nb", F.struct("h", "ctx", "n", "s0", "s1", "a", (F.col("m") > crowd).alias("crowded")).alias("run"))
     wanted = wanted.groupBy("th", "nb").agg(F.collect_set("run").alias("runs"))
+    names = ["h", "ctx", "n", "th", "nb", "s0", "a", "starts", "crowded", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, d = set(), zstandard.ZstdDecompressor()
@@ -132,12 +140,12 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, an
                 if (th, nb) not in met:
                     met.add((th, nb))
                     text = d.decompress(z, max_output_size=nb)
-                    out += [(r["h"], r["ctx"], r["n"], th, nb, r["s0"], r["a"] - r["s0"], r["crowded"], text[r["s0"] : r["s1"] + length]) for r in own]
+                    out += [(r["h"], r["ctx"], r["n"], th, nb, r["s0"], r["a"] - r["s0"], r["s1"] - r["s0"] + 1, r["crowded"], text[r["s0"] : r["s1"] + longest]) for r in own]
             if out:
-                kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "ctx", "n", "th", "nb", "s0", "a", "crowded", "bytes"])
+                kinds = [pa.int64()] * 8 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    pieces = packed.join(wanted, ["th", "nb"]).select("th", "nb", "z", "runs").mapInArrow(cut, "h bigint, ctx bigint, n bigint, th bigint, nb bigint, s0 bigint, a bigint, crowded boolean, bytes binary")
+    pieces = packed.join(wanted, ["th", "nb"]).select("th", "nb", "z", "runs").mapInArrow(cut, ", ".join(f"{c} bigint" for c in names[:8]) + ", crowded boolean, bytes binary")
     pieces = stored(pieces)
     sorted_pieces = pieces.where("not crowded").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "ctx")
 
@@ -159,32 +167,36 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, an
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for r, starts in zip(rows, repeated_windows([(r[-1], r[6], r[2]) for r in rows], length), strict=True):
-            s, e = ranges(starts, length)
-            out.append([np.full(len(s), r[3]), np.full(len(s), r[4]), s + r[5], e + r[5]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["th", "nb", "start", "end"])
+        for k, (x, every) in enumerate(zip(lengths, repeated_windows([(r[-1], r[6], r[2], r[7]) for r in rows], lengths), strict=True)):
+            for r, starts in zip(rows, every, strict=True):
+                s, e = ranges(starts, x)
+                out.append([np.full(len(s), r[3]), np.full(len(s), r[4]), np.full(len(s), k), s + r[5], e + r[5]])
+        th, nb, k, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(th), pa.array(nb), pa.array(k.astype(np.int32)), pa.array(start), pa.array(end)], ["th", "nb", "k", "start", "end"])
 
-    cover = cover.union(sorted_pieces.mapInArrow(search, "th bigint, nb bigint, start bigint, end bigint"))
+    cover = cover.union(sorted_pieces.mapInArrow(search, "th bigint, nb bigint, k int, start bigint, end bigint"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], [], [], []]
-            for n, th, nb, s0, data in zip(*(b.column(c).to_pylist() for c in ("n", "th", "nb", "s0", "bytes")), strict=True):
-                k = len(data) - length + 1
-                for o, v in zip(out, ([xxhash.xxh64_intdigest(data[i : i + length]) for i in range(k)], [n] * k, [th] * k, [nb] * k, range(s0, s0 + k)), strict=True):
-                    o.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in out[1:])], ["w", "n", "th", "nb", "start"])
-
-    single = pieces.where("crowded").dropDuplicates(["h", "ctx"]).mapInArrow(windows, "w bigint, n bigint, th bigint, nb bigint, start bigint")
-    twice = single.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    cover = cover.union(single.join(twice, "w", "left_semi").select("th", "nb", "start", (F.col("start") + length).alias("end")))
-    return cover.groupBy("th", "nb").agg(F.collect_set(F.struct("start", "end")).alias("cover"))
-
-
-def merged(cover: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal spans of overlapping or touching ranges, ascending."""
+            out = [[], [], [], [], [], []]
+            for n, th, nb, s0, starts, data in zip(*(b.column(c).to_pylist() for c in ("n", "th", "nb", "s0", "starts", "bytes")), strict=True):
+                for k, x in enumerate(lengths):
+                    m = max(0, min(starts, len(data) - x + 1))
+                    for o, v in zip(out, ([xxhash.xxh64_intdigest(data[i : i + x]) for i in range(m)], [k] * m, [n] * m, [th] * m, [nb] * m, range(s0, s0 + m)), strict=True):
+                        o.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["w", "k", "n", "th", "nb", "start"])
+
+    single = pieces.where("crowded").dropDuplicates(["h", "ctx"]).mapInArrow(windows, "w bigint, k int, n bigint, th bigint, nb bigint, start bigint")
+    twice = single.groupBy("k", "w").agg(F.sum("n").alias("n")).where("n > 1").select("k", "w")
+    size = F.get(F.array(*map(F.lit, lengths)), F.col("k"))
+    cover = cover.union(single.join(twice, ["k", "w"], "left_semi").select("th", "nb", "k", "start", (F.col("start") + size).alias("end")))
+    return cover.groupBy("th", "nb").agg(F.collect_set(F.struct("k", "start", "end")).alias("cover"))
+
+
+def merged(cover: list[dict] | None, k: int = 0) -> list[tuple[int, int]]:
+    """Maximal spans of overlapping or touching ranges of the k-th length, ascending."""
     out: list[list[int]] = []
-    for s, e in sorted((r["start"], r["end"]) for r in cover or ()):
+    for s, e in sorted((r["start"], r["end"]) for r in cover or () if r["k"] == k):
         if out and s <= out[-1][1]:
             out[-1][1] = max(e, out[-1][1])
         else:
@@ -200,15 +212,16 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def with_cover(docs: DataFrame, keep: list[str], length: int, anchor: int, crowd: int) -> DataFrame:
+def with_cover(docs: DataFrame, keep: list[str], lengths: tuple[int, ...], anchor: int, crowd: int) -> DataFrame:
     small_batches(docs.sparkSession)
     packed = zipped(docs, keep)
-    return packed.join(repeated_ranges(docs, packed, length, anchor, crowd), ["th", "nb"], "left").select("nb", "z", "cover", *[f"_{i}" for i in range(len(keep))])
+    return packed.join(repeated_ranges(docs, packed, lengths, anchor, crowd), ["th", "nb"], "left").select("nb", "z", "cover", *[f"_{i}" for i in range(len(keep))])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
+def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_bytes for every row of docs.
 
+    n_passage_bytes counts the bytes that repeated strings of passage bytes cover; they aren't removed unless length covers them too.
     A null text counts as empty; texts shorter than length keep all. Rows that repeat, and equal texts of different
     rows, are occurrences of their own. An empty table gives no rows.
     """
@@ -220,19 +233,21 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd:
             for nb, z, cover in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 spans = merged(cover)
                 text = d.decompress(z, max_output_size=nb) if nb else b""
-                out.append((nb, sum(e - s for s, e in spans), len(spans), hashlib.sha256(without(text, spans)).hexdigest()))
+                out.append((nb, sum(e - s for s, e in spans), len(spans), hashlib.sha256(without(text, spans)).hexdigest(), sum(e - s for s, e in merged(cover, 1))))
             if out:
-                kinds = [pa.int64()] * 3 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column(3), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([b.column(3), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_cover(docs, ["doc_id"], length, anchor, crowd).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_cover(docs, ["doc_id"], (length, passage), anchor, crowd).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_bytes bigint")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = PASSAGE, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """docs with the kept bytes as text (bytes of cut characters go too) and, where there is such a column, n_chars anew.
 
-    A null text stays null. Rows stay, even if nothing of their text does.
+    A null text stays null, an empty one empty; texts shorter than length keep all. Rows that repeat, and equal texts of
+    different rows, are occurrences of their own. Rows stay, even if nothing of their text does. Other columns keep
+    their values, whatever their names. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "text"]
 
@@ -245,8 +260,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cr
             yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(texts, pa.string())], [*b.schema.names[3:], "text"])
 
     more = "".join(f"_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(names))
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    out = with_cover(marked, [*names, "_null"], length, anchor, crowd).mapInArrow(run, more + f"_{len(names)} boolean, text string")
+    null = fresh("null", docs.columns)
+    marked = docs.withColumn(null, F.col("text").isNull())
+    out = with_cover(marked, [*names, null], (length,), anchor, crowd).mapInArrow(run, more + f"_{len(names)} boolean, text string")
     text: Column = F.when(F.col(f"_{len(names)}"), F.lit(None).cast("string")).otherwise(F.col("text"))
     back = {c: F.col(f"_{i}") for i, c in enumerate(names)} | {"text": text}
     if "n_chars" in back:

@@ -82,74 +82,77 @@ def suffix_array(s: list[int]) -> list[int]:
 STEP = 16
 
 
-def repeated_windows(pieces: list[tuple[bytes, int, int]], length: int) -> list[np.ndarray]:
-    """For each piece, the starts of its windows of so many bytes that occur twice or more in all pieces.
+def repeated_windows(pieces: list[tuple[bytes, int, int, int]], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each length and piece, the starts of its windows of so many bytes that occur twice or more in all pieces.
 
-    pieces: bytes, the phase (equal windows of two pieces lie equally far from it, mod STEP), and how often the piece
-    itself occurs. The suffixes sorted are those of 16-byte symbols in phase: windows have
-    (length - 15) // 16 whole symbols, found by neighbours in the suffix array, and 15 to 30 bytes
-    at their ends, which are compared exactly. length must be 31 or more.
+    pieces: bytes, the phase (equal windows of two pieces lie equally far from it, mod STEP), how often the piece
+    itself occurs, and how many starts count. The suffixes sorted, once for all lengths, are those of 16-byte symbols in phase:
+    windows have (length - 15) // 16 whole symbols, found by neighbours in the suffix array, and 15 to 30 bytes
+    at their ends, which are compared exactly. Lengths must be 31 or more.
     """
-    whole = (length - STEP + 1) // STEP
-    rest = length - whole * STEP
-    data = np.frombuffer(b"".join(p for p, _, _ in pieces) + bytes(length), np.uint8)
-    size = np.array([len(p) for p, _, _ in pieces], np.int64)
+    none = [np.zeros(0, np.int64) for _ in pieces]
+    most = (max(lengths) - STEP + 1) // STEP
+    data = np.frombuffer(b"".join(p[0] for p in pieces) + bytes(max(lengths)), np.uint8)
+    size = np.array([len(p[0]) for p in pieces], np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
-    head = np.array([a % STEP for _, a, _ in pieces], np.int64)
+    head = np.array([p[1] % STEP for p in pieces], np.int64)
     many = np.maximum(0, (size - head) // STEP)
     owner = np.repeat(np.arange(len(pieces)), many)
     index = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     byte = at[owner] + head[owner] + index * STEP
     if not len(byte):
-        return [np.zeros(0, np.int64) for _ in pieces]
+        return [none for _ in lengths]
     symbols = np.ascontiguousarray(data[byte[:, None] + np.arange(STEP)]).view("<u8")
     low, high = (np.unique(symbols[:, k], return_inverse=True)[1].astype(np.int64) for k in (0, 1))
     rank = np.unique(low * (int(high.max()) + 1) + high, return_inverse=True)[1] + len(pieces)
     # Each piece ends with a separator of its own.
     place = np.arange(len(rank)) + owner
-    text = np.full(len(rank) + len(pieces) + whole, -1)
+    n = len(rank) + len(pieces)
+    text = np.full(n + most, -1)
     text[place] = rank
     ends = np.cumsum(many) + np.arange(len(pieces))
     text[ends] = np.arange(len(pieces))
-    n = len(rank) + len(pieces)
     order = np.array(suffix_array(text[:n].tolist()), np.int64)
-    full = np.zeros(n, bool)
-    full[place] = index + whole <= many[owner]
-    order = order[full[order]]
-    if len(order) < 2:
-        same = np.zeros(0, bool)
-    else:
-        same, a, b = np.ones(len(order) - 1, bool), order[:-1], order[1:]
-        for t in range(whole):
-            same &= text[a + t] == text[b + t]
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-    weight = np.array([w for _, _, w in pieces], np.int64)
     of = np.zeros(n, np.int64)
     of[place] = np.arange(len(rank))
-    symbol = of[order]
-    total = np.bincount(group, weight[owner[symbol]]) if len(group) else np.zeros(0)
-    keep = total[group] > 1
-    symbol, group = symbol[keep], group[keep]
-    start = (byte[symbol][:, None] - np.arange(STEP)).ravel()  # the whole symbols begin 0 to 15 bytes into the window
-    who = np.repeat(owner[symbol], STEP)
-    shift = np.tile(np.arange(STEP), len(symbol))
-    key = np.repeat(group, STEP) * STEP + shift
-    ok = (start >= at[who]) & (start + length <= at[who + 1])
-    start, who, shift, key = start[ok], who[ok], shift[ok], key[ok]
-    # The rest: shift bytes before the whole symbols, and rest - shift bytes after them.
-    t = np.arange(rest)
-    ends_at = start[:, None] + np.where(t[None, :] < shift[:, None], t[None, :], t[None, :] + whole * STEP)
-    pad = (-rest) % 8
-    words = np.pad(data[ends_at], ((0, 0), (0, pad))).view("<u8")
-    if not len(start):
-        return [np.zeros(0, np.int64) for _ in pieces]
-    by = np.lexsort([*words.T, key])
-    new = (key[by][1:] != key[by][:-1]) | (words[by][1:] != words[by][:-1]).any(axis=1)
-    run = np.concatenate([[0], np.cumsum(new)])
-    again = np.zeros(len(by), bool)
-    again[by] = np.bincount(run, weight[who[by]])[run] > 1
-    who, start = who[again], start[again] - at[who[again]]
-    by = np.lexsort([start, who])
-    who, start = who[by], start[by]
-    cut = np.searchsorted(who, np.arange(len(pieces) + 1))
-    return [start[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    weight, starts = (np.array([p[k] for p in pieces], np.int64) for k in (2, 3))
+
+    def of_length(length: int) -> list[np.ndarray]:
+        whole = (length - STEP + 1) // STEP
+        rest = length - whole * STEP
+        full = np.zeros(n, bool)
+        full[place] = index + whole <= many[owner]
+        own = order[full[order]]
+        if not len(own):
+            return none
+        same, a, b = np.ones(len(own) - 1, bool), own[:-1], own[1:]
+        for t in range(whole):
+            same &= text[a + t] == text[b + t]
+        group = np.concatenate([[0], np.cumsum(~same)])
+        symbol = of[own]
+        keep = np.bincount(group, weight[owner[symbol]])[group] > 1
+        symbol, group = symbol[keep], group[keep]
+        start = (byte[symbol][:, None] - np.arange(STEP)).ravel()  # the whole symbols begin 0 to 15 bytes into the window
+        who = np.repeat(owner[symbol], STEP)
+        shift = np.tile(np.arange(STEP), len(symbol))
+        key = np.repeat(group, STEP) * STEP + shift
+        ok = (start >= at[who]) & (start < at[who] + starts[who]) & (start + length <= at[who + 1])
+        start, who, shift, key = start[ok], who[ok], shift[ok], key[ok]
+        if not len(start):
+            return none
+        # The rest: shift bytes before the whole symbols, and rest - shift bytes after them.
+        t = np.arange(rest)
+        ends_at = start[:, None] + np.where(t[None, :] < shift[:, None], t[None, :], t[None, :] + whole * STEP)
+        words = np.pad(data[ends_at], ((0, 0), (0, (-rest) % 8))).view("<u8")
+        by = np.lexsort([*words.T, key])
+        new = (key[by][1:] != key[by][:-1]) | (words[by][1:] != words[by][:-1]).any(axis=1)
+        run = np.concatenate([[0], np.cumsum(new)])
+        again = np.zeros(len(by), bool)
+        again[by] = np.bincount(run, weight[who[by]])[run] > 1
+        who, start = who[again], start[again] - at[who[again]]
+        by = np.lexsort([start, who])
+        who, start = who[by], start[by]
+        cut = np.searchsorted(who, np.arange(len(pieces) + 1))
+        return [start[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    return [of_length(length) for length in lengths]
