@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from omiclake.llm.common import by_text, documents, raw, small_batches, stored
+from omiclake.llm.common import by_text, documents, fresh, raw, small_batches, stored
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4) -> Data
 
 #: Fingerprints of a text in near_copies, and bits at which two of one kind make a candidate.
 KINDS, CANDIDATE_BITS = 3, 12
-#: Up to so many texts of an anchor's group meet in all pairs at once; larger groups take rounds.
+#: Up to so many texts of an anchor's group are paired at once; larger groups are compared in blocks.
 ALL_PAIRS = 6
-#: In each round after the first a text of a larger group meets so many times as many others.
-MORE = 8
+#: Texts of a block, about.
+BLOCK = 512
 
 
 def hash_of_words(text: bytes) -> int:
@@ -222,48 +222,102 @@ def shingles(text: bytes, words: int) -> bytes:
     return np.unique(np.array(h, np.uint32)).tobytes()
 
 
-def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, root: np.ndarray, bits: int, most: int = 0, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of an anchor's near pairs of different roots, whether each is of a large group, and the places of groups with pairs left over.
+def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of an anchor's near pairs, and their kind: 0 of a small group, 1 a text of a large one with its leader, 2 a leader with the first one.
 
-    A small group gives all its pairs. In a large one, while most is 0, leaders meet all that are near them: each text not near
-    an earlier leader becomes one, in the order of t. Else each text outside the group's largest root meets most others, the
-    largest roots' first; every pair of different roots has such a text, so nothing is left over once most reaches the group's size.
+    In a large group each text not near an earlier leader becomes one, in the order of t, and every other that is at home here
+    meets the first leader near it.
     """
-    label, u, v, dense, left = groups_at(fp, home, bits, block), [], [], [], []
+    label, out = groups_at(fp, home, bits, block), [np.zeros((0, 3), np.int64)]
     x = fp.view(np.uint64)
     for g in np.unique(label[label != np.arange(len(fp))]):
         own = np.flatnonzero(label == g)
-        _, kind, size = np.unique(root[own], return_inverse=True, return_counts=True)
-        if len(size) == 1:
-            continue
-        kind = kind.ravel()
+        own = own[np.argsort(t[own], kind="stable")]
         large = len(own) > ALL_PAIRS
-        if large and most:
-            order = np.lexsort((t[own], kind, -size[kind]))
-            own, kind = own[order], kind[order]
-            minor, over = own[kind != kind[0]], False
-        else:
-            own = own[np.argsort(t[own], kind="stable")]
-            minor, over = own, large
-        met: set[int] = set()
-        for i in minor:
-            if large and not most and i in met:
+        met = np.zeros(len(fp), bool)
+        for k, i in enumerate(own):
+            if large and met[i]:
                 continue
-            near = own[(np.bitwise_count(x[own] ^ x[i]) <= bits) & (root[own] != root[i])]
-            if not large:
-                near = near[t[near] > t[i]]
-            elif most:
-                over |= len(near) > most
-                near = near[:most]
-            else:
-                met.update(near.tolist())
-            u.append(np.full(len(near), i))
-            v.append(near)
-            dense.append(np.full(len(near), large))
-        if over:
-            left.append(own)
-    whole = lambda of, kind: np.concatenate(of) if of else np.zeros(0, kind)
-    return whole(u, int), whole(v, int), whole(dense, bool), whole(left, int)
+            near = own[k + 1 :]
+            near = near[(np.bitwise_count(x[near] ^ x[i]) <= bits) & ~(large & met[near])]
+            if large:
+                met[near] = True
+                near = near[home[near]]
+                if k:
+                    out.append(np.array([[own[0], i, 2]]))
+            out.append(np.stack([np.full(len(near), i), near, np.full(len(near), int(large))], axis=1))
+    u, v, kind = np.concatenate(out).T
+    return u, v, kind
+
+
+def similar_in(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts of different roots that are so similar, as stars. side: 0 or 1; of two sides only texts across are compared."""
+    n, size = len(sets), np.array(list(map(len, sets)))
+    x = np.concatenate(sets)
+    found, at, count = np.unique(x, return_inverse=True, return_counts=True)
+    who, keep = np.repeat(np.arange(n), size), count[at] > 1
+    # Shingles that one text alone has can't be shared.
+    at, who = (np.cumsum(count > 1) - 1)[at[keep]], who[keep]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    a, b = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() and not side.all() else (np.arange(n),) * 2
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, (first, first + width))
+        has = np.zeros((n, width), np.float32)
+        has[who[i:j], at[i:j] - first] = 1
+        shared += has[a] @ has[b].T
+    linked = (shared >= similarity * (size[a][:, None] + size[b][None, :] - shared) - 1e-4) & (root[a][:, None] != root[b][None, :])
+    label = np.arange(n)
+    for k in np.flatnonzero(linked.any(axis=1)):
+        own = np.unique(label[np.concatenate([[a[k]], b[linked[k]]])])
+        label[np.isin(label, own[1:])] = own[0]
+    far = np.flatnonzero(label != np.arange(n))
+    return label[far], far
+
+
+def blockwise(clusters: DataFrame, root: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """u and v: stars that connect the texts t of a cluster c whose sets s are so similar, where roots don't yet.
+
+    A cluster's texts outside its largest root are dealt to blocks by a hash, those of that root to others; each of the former
+    meets every block, so that all pairs of different roots are compared, and none of the largest root with itself. A
+    task holds two blocks at a time.
+    """
+    texts = clusters.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "c", F.coalesce("root", "t").alias("root"))
+    count = texts.groupBy("c", "root").agg(F.count("*").alias("k"))
+    most = count.groupBy("c").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
+    most = most.select("c", F.col("m.root").alias("major"), F.ceil((F.col("all") - F.col("m.k")) / block).alias("minors"), F.ceil(F.col("m.k") / block).alias("majors"))
+    dealt = texts.join(most, "c").withColumn("is_major", F.col("root") == F.col("major"))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("t", F.lit(SEED)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
+    own, minors = F.col("b"), F.col("minors")
+    with_minors = F.transform(upto(minors), lambda j: F.when(j < own, pair(j, own, 1)).otherwise(pair(own, j, 0)))
+    with_majors = F.transform(upto(F.col("majors")), lambda j: pair(own, minors + j, 0))
+    meets = F.when(F.col("is_major"), F.transform(upto(minors), lambda i: pair(i, minors + own, 1))).otherwise(F.concat(with_minors, with_majors))
+    met = dealt.select("t", "c", "root", F.explode(meets).alias("p")).select("c", "p.a", "p.b", "p.side", "t", "root").join(sets, "t")
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:3] != at:
+                    yield found(rows)
+                    at, rows = r[:3], []
+                rows.append(r[3:])
+        yield found(rows)
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        u = v = np.zeros(0, np.int64)
+        if len(rows) > 1:
+            side, t, own = (np.array(x) for x in list(zip(*rows, strict=True))[:3])
+            i, j = similar_in([np.frombuffer(r[3], np.uint32) for r in rows], own, side, similarity)
+            u, v = t[i], t[j]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    met = met.select("c", "a", "b", "side", "t", "root", "s").repartition(n, "c", "a", "b").sortWithinPartitions("c", "a", "b")
+    return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -271,8 +325,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; each
     pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
-    A large group of candidates takes rounds: what is verified is contracted, and texts not yet linked meet more of the others,
-    until each near pair of the group is linked or compared.
+    Of a large group each text is first held against its leader. What that links is contracted; then the texts outside the
+    largest component of their groups are compared with all of the groups in blocks, which give links only.
     Null and wordless texts are one text, texts of fewer words one shingle. Beside them come t, the hash of the row's words, and
     root, which tells components apart where no row has a doc_id. An empty table gives no rows.
     """
@@ -288,7 +342,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                t, p, root = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS), b.column(2).to_numpy()
+                t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS)
                 for k in range(KINDS):
                     order = np.argsort(p[:, k], kind="stable")
                     distinct, first, count = np.unique(p[order, k], return_index=True, return_counts=True)
@@ -296,51 +350,43 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                     place = np.searchsorted(distinct, who)
                     times = count[place]
                     of = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at | k << 24, times)), pa.array(np.repeat(who, times)), pa.array(t[order][of]), pa.array(np.repeat(home, times)), pa.array(root[order][of])], ["at", "fp", "t", "home", "root"])
-
-    def candidates(texts: DataFrame, most: int) -> DataFrame:
-        """u, v and whether a large group gave them; u = v marks a text of a group with pairs left over."""
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: list[np.ndarray] | None = None
-            for b in batches:
-                own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-                if rest:
-                    own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
-                cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
-                rest = [x[cut[-1] :] for x in own]
-                yield found(own, cut.tolist())
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.repeat(at | k << 24, times), np.repeat(who, times), t[order][of], np.repeat(home, times)))), ["at", "fp", "t", "home"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in batches:
+            own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if rest:
-                yield found(rest, [0, len(rest[0])])
-
-        def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
-            u, v, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i > 1 and own[3][i:j].any():
-                    _, fp, t, home, root = (x[i:j] for x in own)
-                    a, b, large, left = candidate_pairs(fp, home, t, root, CANDIDATE_BITS, most)
-                    u += [t[a], t[left]]
-                    v += [t[b], t[left]]
-                    dense += [large, np.ones(len(left), bool)]
-            u, v, dense = (np.concatenate(x) for x in (u, v, dense))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(dense)], ["u", "v", "dense"])
-
-        spread = texts.select("t", "prints", "root").mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean, root bigint")
-        return spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint, dense boolean").distinct()
+                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
+            rest = [x[cut[-1] :] for x in own]
+            yield found(own, cut.tolist())
+        if rest:
+            yield found(rest, [0, len(rest[0])])
+
+    def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
+        out = [np.zeros((0, 3), np.int64)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j - i > 1 and own[3][i:j].any():
+                _, fp, t, home = (x[i:j] for x in own)
+                a, b, kind = candidate_pairs(fp, home, t, CANDIDATE_BITS)
+                out.append(np.stack([t[a], t[b], kind], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)  # a pair may meet at several anchors of a task
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["u", "v", "kind"])
 
     own = known.select("t", "prints").dropDuplicates(["t"])
-    met = stored(candidates(own.withColumn("root", F.col("t")), 0))
-    pairs = met.where("u != v")
-    # Of a large group's leaders a text meets the first one only, whatever the anchor; later rounds take the others.
-    first = pairs.where("dense").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    tested = stored(pairs.where("NOT dense").select("u", "v").union(first).distinct())
+    spread = own.mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean")
+    pairs = stored(spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint, kind bigint").distinct())
+    # Of a large group's leaders a text is held against the first one only, whatever the anchor.
+    first = pairs.where("kind = 1").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    tested = pairs.where("kind = 0").select("u", "v").union(first).distinct()
 
     def pack(texts: list[bytes]) -> dict:
         z = zstandard.ZstdCompressor(level=1)
         return {"t": pa.array([hash_of_words(t) for t in texts], pa.int64()), "z": pa.array([z.compress(t) for t in texts], pa.binary())}
 
     # The texts of candidates only, one for each word sequence, whatever the rows' doc_id.
-    wanted = met.select(F.col("u").alias("t")).union(met.select(F.col("v").alias("t"))).distinct()
+    wanted = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
     texts = by_text(docs, pack, "t bigint, z binary", ()).dropDuplicates(["t"]).join(wanted, "t", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +410,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         both = pairs.join(sets.select(F.col("t").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("t").alias("v"), F.col("s").alias("sv")), "v")
         return both.select("u", "v", "su", "sv").mapInArrow(verify, "u bigint, v bigint")
 
-    root, most = stored(components(verified(tested)).distinct()), MORE
-    while not (left := met.where("u = v").select(F.col("u").alias("t"))).isEmpty():
-        texts = own.join(left, "t", "left_semi").join(root.withColumnRenamed("node", "t"), "t", "left")
-        met = stored(candidates(texts.select("t", "prints", F.coalesce("root", "t").alias("root")), most))
-        more = stored(met.where("u != v").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
+    root = stored(components(verified(tested)).distinct())
+    large = pairs.where("kind > 0").select("u", "v")
+    if not large.isEmpty():
+        links = blockwise(components(large).select(F.col("node").alias("t"), F.col("root").alias("c")).distinct(), root, sets, similarity)
         stars = root.where("node != root").select(F.col("root").alias("u"), F.col("node").alias("v"))
-        root = stored(components(stars.union(verified(more))).distinct())
-        tested, most = tested.union(more), most * MORE
+        root = stored(components(stars.union(links)).distinct())
     first = known.groupBy("t").agg(F.min("doc_id").alias("first"))
     named = first.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "first", F.coalesce("root", "t").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -382,7 +426,8 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One document of each component: of its smallest doc_id (null only where there is no other), and there of the smallest t.
 
     Groups of near_copies name texts, so that rows without doc_id, or that share one with another text, stand for themselves.
-    Groups without t and root name documents by doc_id alone.
+    Groups without t and root name documents by doc_id alone. Rows that repeat doc_id and words are one; null and wordless texts
+    are one text. Other columns keep their values, whatever their names. An empty table gives no rows.
     """
     if "root" not in groups.columns:
         keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
@@ -390,16 +435,17 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m"))
     keep = least.select(F.col("m.doc_id").alias("_kept"), F.col("m.t").alias("_text"))
     small_batches(docs.sparkSession)
+    own = fresh("t", docs.columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [hash_of_words(t) for t in raw(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.int64())], [*b.schema.names[:-1], "_t"])
+            t = [hash_of_words(t) for t in raw(b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(t, pa.int64())], [*b.schema.names[:-1], own])
 
-    named = docs.withColumn("_t", F.col("text").cast("string"))
-    named = named.mapInArrow(add, StructType([*docs.schema.fields, StructField("_t", LongType())]))
-    same = (named["_t"] == keep["_text"]) & named["doc_id"].eqNullSafe(keep["_kept"])
-    return named.join(keep, same, "left_semi").dropDuplicates(["_t"]).drop("_t")
+    named = docs.withColumn(own, F.col("text").cast("string"))
+    named = named.mapInArrow(add, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    same = (named[own] == keep["_text"]) & named["doc_id"].eqNullSafe(keep["_kept"])
+    return named.join(keep, same, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
