@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from omiclake.llm.common import by_text, documents, mixed
+from omiclake.llm.common import by_text, documents, mixed, small_batches
 from omiclake.llm.labelled import labelled_texts
 from omiclake.llm.textstats import Text
 
@@ -118,9 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         x = [sparse(Text(t)) for t in texts]
         return {"at": pa.array([a.astype(np.int32).tobytes() for a, _ in x], pa.binary()), "value": pa.array([v.astype(np.float32).tobytes() for _, v in x], pa.binary())}
 
-    rows = by_text(labelled_texts(docs, labels, "quality", sample), run, "at binary, value binary", ("doc_id", "y")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32).astype(float), r["y"]) for r in rows])
+    got = by_text(labelled_texts(docs, labels, "quality", sample), run, "at binary, value binary", ("doc_id", "y")).toArrow().combine_chunks()
+    ids, y, at, value = got["doc_id"].to_pylist(), got["y"].to_pylist(), got["at"], got["value"]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], at[i].as_py(), value[i].as_py()))
+    # Views of the collected bytes, which are the bound of what the driver holds.
+    return fit([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(value[i].as_buffer(), np.float32), y[i]) for i in order])
 
 
 def judged(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
@@ -146,7 +148,10 @@ def judged(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; nothing is shuffled."""
+    """The rows of docs that the rules keep, with all their columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts, and texts of under 50 words, go. Rows that repeat are judged each, alike. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -161,8 +166,6 @@ def kept_documents(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFra
                     ok.append(n >= 50 and 100 * t.n_repeat_words() <= 50 * n and m.probability(t) >= keep)
                 yield b.filter(pa.array(ok))
 
-    from omiclake.llm.common import small_batches
-
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
