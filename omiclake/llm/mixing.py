@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omiclake.llm.common import documents, stored, word_count
+from omiclake.llm.common import documents, fresh, stored, word_count
 
 #: No source's target, and no document's words, exceed so many times its size.
 MOST = 3
@@ -124,13 +124,18 @@ def taken(size: np.ndarray, want: int, block: int, rng: np.random.Generator, who
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its words; texts are never cut."""
+    """The rows of docs, each as often as the mix takes its words; texts are never cut.
+
+    Rows without words, null and empty texts among them, go: they add no words to a mix. Rows that repeat doc_id and text are
+    taken alike, as often as the one of them that is taken most. Other columns keep their values, whatever their names. An
+    empty table gives no rows.
+    """
+    ident, own, crc, times, copy = (fresh(c, docs.columns) for c in ("id", "own_crc", "crc", "times", "copy"))
     many = mixed_words(docs, block=1024, whole=True, seed=seed).where("taken > 0")
-    many = many.select(F.col("doc_id").alias("_id"), F.col("text_crc").alias("_crc"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).groupBy("_id", "_crc").agg(F.max("_times").alias("_times"))
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    named = docs.withColumn("_own_crc", crc)
-    out = named.join(many, named["doc_id"].eqNullSafe(many["_id"]) & (named["_own_crc"] == many["_crc"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    many = many.groupBy(F.col("doc_id").alias(ident), F.col("text_crc").alias(crc)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
+    named = docs.withColumn(own, F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    out = named.join(many, named["doc_id"].eqNullSafe(many[ident]) & (named[own] == many[crc]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

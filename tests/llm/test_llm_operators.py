@@ -346,7 +346,6 @@ def test_token_files(spark, docs, empty, tmp_path):
 
     path = P.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     tokenfile.write_tokens(docs, f"{tmp_path}/a", path, tokens=500, partitions=3)
     got = sorted(tokenfile.read_tokens(spark, f"{tmp_path}/a", with_ids=True).collect(), key=lambda r: r["start"])
     data = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
@@ -361,11 +360,13 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfile.read_at(spark, f"{tmp_path}/a", places) == {p: stream[p] for p in places}
     tokenfile.write_tokens(empty, f"{tmp_path}/b", path)
     assert tokenfile.read_tokens(spark, f"{tmp_path}/b").collect() == []
-    coder, rng = tokenfile.Tokenizer(path), random.Random(3)
-    parts = ["a", " ", "  ", "\n", "'s", "é", "日", "1", "!", "　", "the", " word", "ª", "ſ", "İ", "😀", "\x00", "́", "²"]
-    for _ in range(800):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
-        assert np.frombuffer(coder.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+    parts = ["a", " ", "  ", "\n", "'s", "é", "日", "1", "!", "　", "the", " word", "ª", "ſ", "İ", "😀", "\x00", "́", "²", "\x85", "\xa0", "\x1c", "ɏ", "ɐ"]
+    for literal in (False, True):
+        own.encode_special_tokens = literal
+        coder, rng = tokenfile.Tokenizer(path, literal), random.Random(3)
+        for k in range(1200):
+            t = "".join(rng.choice(parts if k % 3 else [*parts, "<|endoftext|>"]) for _ in range(rng.randint(0, 30)))
+            assert np.frombuffer(coder.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
 
 
 def test_sharding_law(spark, docs, empty):
@@ -433,6 +434,9 @@ def test_mixing(docs, empty):
         assert abs(taken[s] - g) <= 64
     assert mixing.mixed_words(empty).collect() == []
     assert mixing.mixed_documents(docs).columns == docs.columns
+    clashing = docs.select("doc_id", "text", "source", F.lit(77).alias("_copy"), F.lit("x").alias("_times"), F.lit(3).alias("taken"), F.lit(4).alias("_source"))
+    out = mixing.mixed_documents(clashing).collect()
+    assert out and all((r["_copy"], r["_times"], r["taken"], r["_source"]) == (77, "x", 3, 4) for r in out)
 
 
 @settings(max_examples=150, deadline=None)
@@ -454,18 +458,18 @@ def brute_spans(data, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "anchor", "crowd"), [(400, 128, 5000), (400, 128, 1), (60, 20, 5000), (60, 20, 2), (40, 16, 3)])
-def test_passages_match_brute_force(docs, empty, length, anchor, crowd):
-    got = collections.Counter(map(tuple, passages.removed(docs, length, anchor, crowd).collect()))
+@pytest.mark.parametrize(("length", "anchor", "crowd", "passage"), [(400, 96, 5000, 250), (400, 128, 1, 300), (60, 20, 5000, 40), (60, 20, 2, 60), (40, 16, 3, 90)])
+def test_passages_match_brute_force(docs, empty, length, anchor, crowd, passage):
+    got = collections.Counter(map(tuple, passages.removed(docs, length, anchor, crowd, passage).collect()))
     data = docs.collect()
-    bits = brute_spans([(r["text"] or "").encode() for r in data], length)
+    bits, shorter = (brute_spans([(r["text"] or "").encode() for r in data], n) for n in (length, passage))
     want = collections.Counter()
-    for r, m in zip(data, bits, strict=True):
+    for r, m, p in zip(data, bits, shorter, strict=True):
         b = np.frombuffer((r["text"] or "").encode(), np.uint8)
         spans = int((np.diff(np.concatenate([[0], m.astype(np.int8)])) == 1).sum())
-        want[(r["doc_id"], len(b), int(m.sum()), spans, hashlib.sha256(b[~m].tobytes()).hexdigest())] += 1
+        want[(r["doc_id"], len(b), int(m.sum()), spans, hashlib.sha256(b[~m].tobytes()).hexdigest(), int(p.sum()))] += 1
     assert got == want
-    assert passages.removed(empty, length, anchor, crowd).collect() == []
+    assert passages.removed(empty, length, anchor, crowd, passage).collect() == []
 
 
 def test_deduplicated_documents_keep_their_columns(docs):
@@ -473,6 +477,9 @@ def test_deduplicated_documents_keep_their_columns(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[0]["text"] is None and rows[6]["text"] == "" and rows[6]["n_chars"] == 0 and rows[6]["fp"] == "f"
+    clashing = docs.select("doc_id", "text", F.lit(True).alias("_null"), F.lit("x").alias("th"), F.lit(7).alias("_0"), F.lit(8).alias("cover"))
+    out = passages.deduplicated(clashing).collect()
+    assert all(r["_null"] and (r["th"], r["_0"], r["cover"]) == ("x", 7, 8) for r in out) and len(out) == docs.count()
 
 
 def test_runs_of_long_texts_do_not_depend_on_blocks():
@@ -486,3 +493,23 @@ def test_queries_are_registered():
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(QUERIES))
+
+
+def test_blocks_link_all_similar_texts_of_different_roots(spark):
+    rng = random.Random(9)
+    base = rng.sample(range(10**6), 60)
+    sets = [sorted({*rng.sample(base, 60 - k % 9), *rng.sample(range(10**6, 2 * 10**6), k % 9)}) for k in range(90)]
+    root = [min(k, 5 * (k % 3)) for k in range(90)]
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    packed = [(k, np.array(s, np.uint32).tobytes()) for k, s in enumerate(sets)]
+    got = simhash.blockwise(table([(k, 7) for k in range(90)], "t bigint, c bigint"), table(list(enumerate(root)), "node bigint, root bigint"), table(packed, "t bigint, s binary"), 0.8, block=16).collect()
+    similar = {(i, j) for i in range(90) for j in range(i + 1, 90) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+
+    def labels(edges):
+        label = list(range(90))
+        for a, b in [*edges, *enumerate(root)]:
+            a, b = sorted((label[a], label[b]))
+            label = [a if x == b else x for x in label]
+        return label
+
+    assert similar and labels([(r["u"], r["v"]) for r in got]) == labels(similar)
