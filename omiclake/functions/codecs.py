@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +52,13 @@ def numpress_deltas(values: Column, scale: float) -> Column:
 
 
 def numpress_values(deltas: Column, scale: float) -> Column:
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, d: F.struct((a["sum"] + d).alias("sum"), F.concat(a["out"], F.array((a["sum"] + d) / F.lit(float(scale)))).alias("out"))
-    return F.aggregate(deltas, start, step, lambda a: a["out"])
+    """Running sums over scale, row by row in Arrow batches; a null array stays null."""
+
+    @F.pandas_udf("array<double>")
+    def values(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda d: None if d is None else np.cumsum(np.asarray(d, np.int64)) / float(scale))
+
+    return values(deltas)
 
 
 def zigzag(v: Column) -> Column:
@@ -87,6 +92,18 @@ def read_varint(data: bytes, at: int = 0) -> tuple[int, int]:
             return n, at
 
 
+def varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LEB128 of many non-negative numbers: all bytes, and the size of each."""
+    n = numbers.astype(np.uint64)
+    size = np.maximum(1, -(-np.frexp(n.astype(np.float64))[1] // 7))
+    size += (n >> (7 * size).astype(np.uint64) != 0) & (size < 10)  # a float may round to a lower or higher power
+    last = np.cumsum(size)
+    owner = np.repeat(np.arange(len(n)), size)
+    place = np.arange(last[-1] if len(n) else 0) - np.repeat(last - size, size)
+    low = (n[owner] >> (7 * place).astype(np.uint64) & np.uint64(127)).astype(np.uint8)
+    return low | np.where(place + 1 < size[owner], 128, 0).astype(np.uint8), size
+
+
 def pack_bases(data: bytes) -> bytes:
     """Two bits for each of A, C, G, T; other bytes as (gap, byte) pairs. Any bytes come back as they were."""
     x = np.frombuffer(data, np.uint8)
@@ -96,26 +113,46 @@ def pack_bases(data: bytes) -> bytes:
     odd = np.flatnonzero(bits == 255)
     bits = np.append(np.where(bits == 255, 0, bits), np.zeros(-len(x) % 4, np.uint8)).reshape(-1, 4).astype(np.uint8)
     packed = (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes()
-    gaps = np.diff(odd, prepend=0)
-    return varint(len(data)) + varint(len(odd)) + b"".join(varint(int(g)) + bytes([x[i]]) for g, i in zip(gaps, odd, strict=True)) + packed
+    gaps, size = varints(np.diff(odd, prepend=0))
+    after = np.cumsum(size)
+    return varint(len(data)) + varint(len(odd)) + np.insert(gaps, after, x[odd]).tobytes() + packed
 
 
 def unpack_bases(packed: bytes) -> bytes:
     n, at = read_varint(packed)
     m, at = read_varint(packed, at)
-    odd, place = [], 0
-    for _ in range(m):
-        gap, at = read_varint(packed, at)
-        place += gap
-        odd.append((place, packed[at]))
-        at += 1
-    quad = np.frombuffer(packed, np.uint8, offset=at)
+    quads = (n + 3) // 4
+    listed = np.frombuffer(packed, np.uint8, len(packed) - quads - at, at)
+    quad = np.frombuffer(packed, np.uint8, quads, len(packed) - quads)
     out = np.frombuffer(b"ACGT", np.uint8)[np.stack([quad >> s & 3 for s in (0, 2, 4, 6)], axis=1).ravel()[:n]].copy()
-    for i, b in odd:
-        out[i] = b
+    if m:
+        place, value = exceptions(listed, m)
+        out[place] = value
     return out.tobytes()
 
 
+def exceptions(listed: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and bytes of m (gap, byte) pairs, where a gap is a varint and the byte may be any.
+
+    A gap under 128 takes a pair of bytes; runs of such pairs are read together.
+    """
+    gaps, value, at, have = [], [], 0, 0
+    while have < m:
+        pairs = listed[at : at + 2 * (m - have)]
+        low = pairs[: len(pairs) // 2 * 2].reshape(-1, 2)
+        long = np.flatnonzero(low[:, 0] > 127)
+        k = int(long[0]) if len(long) else len(low)
+        gaps.append(low[:k, 0].astype(np.int64))
+        value.append(low[:k, 1])
+        at, have = at + 2 * k, have + k
+        if have < m:
+            gap, at = read_varint(listed[at : at + 11].tobytes(), 0)[0], at + read_varint(listed[at : at + 11].tobytes(), 0)[1]
+            gaps.append(np.array([gap], np.int64))
+            value.append(listed[at : at + 1])
+            at, have = at + 1, have + 1
+    return np.cumsum(np.concatenate(gaps)), np.concatenate(value)
+
+
 def phred_offset(qualities: Column) -> Column:
     """33 where any byte is under 59; 64 where all lie in 64 to 104; else 33. qualities: an array of byte values."""
     low, high = F.array_min(qualities), F.array_max(qualities)

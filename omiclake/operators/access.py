@@ -11,11 +11,24 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def running(df: DataFrame, order: str, size: str, name: str, rows: int = 1 << 16) -> DataFrame:
+    """df with the sum of size over the rows before each, by a whole-numbered unique order, in no single task.
+
+    Rows are cut into ranges of the order; sums of ranges, which are few, give where each begins.
+    """
+    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    width = max(1, ((span["high"] or 0) - (span["low"] or 0) + 1) // max(1, -(-span["n"] // rows)))
+    part = F.floor((F.col(order) - F.lit(span["low"] or 0)) / width)
+    sums = df.groupBy(part.alias("_part")).agg(F.sum(size).alias("_sum"))
+    first = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_part", part).withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return out.join(sums.select("_part", first.alias("_first")), "_part").withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_in", "_first")
+
+
 def channel_range(run: DataFrame, channel: str, start: int, count: int, order: str = "spectrum_index") -> DataFrame:
     """order and value: values start to start + count of a run's channel laid end to end. Only spectra that hold some are opened."""
-    n = F.size(channel)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    places = run.select(order, n.alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    places = running(run.select(order, F.size(channel).alias("_n")), order, "_n", "_at")
     own = places.where((F.col("_at") < start + count) & (F.col("_at") + F.col("_n") > start))
     first = F.greatest(F.lit(start) - F.col("_at"), F.lit(0)).cast("int")
     last = F.least(F.lit(start + count) - F.col("_at"), F.col("_n")).cast("int")

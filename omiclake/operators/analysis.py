@@ -62,8 +62,9 @@ def quantile(values: Column, q: float) -> Column:
 
 def mask_below_quantile(values: Column, q: float) -> Column:
     """Values strictly under the spectrum's own quantile become 0.0."""
-    cut = quantile(values, q)
-    return F.transform(values, lambda x: F.when(x < cut, F.lit(0.0)).otherwise(x))
+    cut = F.array(quantile(values, q))  # one element, so that the sort is done once for a row and not for each value
+    masked = F.transform(cut, lambda c: F.transform(values, lambda x: F.when(x < c, F.lit(0.0)).otherwise(x)))
+    return F.get(masked, F.lit(0))
 
 
 def coarsen(x: Column, decimals: int) -> Column:

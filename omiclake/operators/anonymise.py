@@ -86,20 +86,26 @@ def overlaps(position: Column, cigar: Column, start: Column, end: Column) -> Col
     return (position <= end) & (position + F.greatest(span, F.lit(1)) - 1 >= start)
 
 
+def read_key(reads: DataFrame) -> list[str]:
+    """Ordinals count within a run, so that they name a read together with it; a table of one run may go without its name."""
+    return [c for c in ("run_name", "read_index") if c in reads.columns]
+
+
 def masked_reads(reads: DataFrame, regions: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
-    """read_index of the reads that overlap a region, once each. Both sides meet by bins of the genome, not by a range join."""
+    """run_name (where reads have one) and read_index of the reads that overlap a region, once each. Both sides meet by bins of the genome, not by a range join."""
+    key = read_key(reads)
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / bin_size), F.floor(high / bin_size)))
     last = F.col("position") + F.greatest(reference_span(F.col("cigar")), F.lit(1)) - 1
-    own = reads.select("read_index", "chromosome", "position", "cigar", bins(F.col("position"), last).alias("_bin"))
+    own = reads.select(*key, "chromosome", "position", "cigar", bins(F.col("position"), last).alias("_bin"))
     region = regions.select("chromosome", "start", "end", bins(F.col("start"), F.col("end")).alias("_bin"))
     hit = own.join(region, ["chromosome", "_bin"]).where(overlaps(F.col("position"), F.col("cigar"), F.col("start"), F.col("end")))
-    return hit.select("read_index").distinct()
+    return hit.select(*key).distinct()
 
 
 def mask_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Sequences (N) and qualities (zero bytes) of overlapping reads are overwritten."""
     hit = masked_reads(reads, regions).withColumn("_hit", F.lit(True))
-    out = reads.join(hit, "read_index", "left")
+    out = reads.join(hit, read_key(reads), "left")
     return out.withColumns({
         "sequence": F.when(F.col("_hit"), F.expr("repeat('N', length(sequence))")).otherwise(F.col("sequence")),
         "qualities": F.when(F.col("_hit"), F.expr("unhex(repeat('00', octet_length(qualities)))")).otherwise(F.col("qualities")),

@@ -156,9 +156,17 @@ class UnitFilter:
         return all_of(parts)
 
     def on(self, units: DataFrame) -> DataFrame:
-        """Matching units; with max_au the first so many of all in stream order."""
+        """Matching units; with max_au the first so many of all in stream order: genomic datasets after all others."""
         out = units.where(self.column())
-        return out if self.max_au is None else out.orderBy("dataset_id", "au_sequence").limit(self.max_au)
+        return out if self.max_au is None else out.orderBy((F.col("spectrum_class") == GENOMIC_CLASS).cast("int"), "dataset_id", "au_sequence").limit(self.max_au)
+
+    def to_dict(self) -> dict[str, Any]:
+        """The filters that are set, under the keys that from_dict takes."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+
+    def to_json(self) -> str:
+        """A client's message, as from_json reads it."""
+        return json.dumps({"filters": self.to_dict()}, sort_keys=True)
 
 
 def parse_pairs(values: list[str]) -> dict[str, Any]:

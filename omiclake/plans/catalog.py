@@ -191,14 +191,22 @@ def cigar_span(spark, d):
 def mask_regions_overlap(spark, d):
     s = table(spark, d, "supplier").where("s_suppkey < 20")
     regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
-    return N.masked_reads(view(spark, d, "reads"), regions)
+    return N.masked_reads(view(spark, d, "reads"), regions).select("read_index")
 
 
 @query(f", own AS (SELECT *, {SPAN} AS span FROM reads) SELECT DISTINCT read_index FROM own JOIN (SELECT 'chr' || CAST(s_suppkey % 3 + 1 AS VARCHAR) AS c, s_suppkey * 97 % 10000 AS s, s_suppkey * 97 % 10000 + 40 AS e FROM supplier) ON c = chromosome AND position <= e AND position + greatest(span, 1) - 1 >= s", "reads")
 def mask_regions_overlap_all(spark, d):
     s = table(spark, d, "supplier")
     regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
-    return N.masked_reads(view(spark, d, "reads"), regions)
+    return N.masked_reads(view(spark, d, "reads"), regions).select("read_index")
+
+
+@query(f", own AS (SELECT 'run' || CAST(read_index % 2 AS VARCHAR) AS run, read_index // 2 AS ordinal, chromosome, position, {SPAN} AS span, repeat('ACGT', 3) AS sequence FROM reads) SELECT run AS run_name, ordinal AS read_index, CASE WHEN bool_or(s_suppkey IS NOT NULL) THEN repeat('N', 12) ELSE max(sequence) END AS sequence FROM own LEFT JOIN supplier ON 'chr' || CAST(s_suppkey % 3 + 1 AS VARCHAR) = chromosome AND position <= s_suppkey * 97 % 10000 + 40 AND position + greatest(span, 1) - 1 >= s_suppkey * 97 % 10000 GROUP BY 1, 2", "reads")
+def mask_regions_of_runs(spark, d):
+    s = table(spark, d, "supplier")
+    regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
+    reads = view(spark, d, "reads").select(F.expr("'run' || CAST(read_index % 2 AS STRING)").alias("run_name"), F.expr("read_index div 2").alias("read_index"), "chromosome", "position", "cigar", F.repeat(F.lit("ACGT"), F.lit(3)).alias("sequence"), F.unhex(F.lit("1E" * 12)).alias("qualities"))
+    return N.mask_regions(reads, regions).select("run_name", "read_index", "sequence")
 
 
 @query("SELECT run_name, read_index, CASE WHEN read_index % 400 < 360 THEN read_index // 400 END AS block FROM reads", "reads")
@@ -478,26 +486,30 @@ def gfa_line_order(spark, d):
     return S.gfa_lines(T.gfa(lines))
 
 
-@query("SELECT conv_id, turn, true AS same FROM conversations")
+@query("SELECT conv_id, turn, CAST(strlen(text) AS INTEGER) AS n_ciphertext, CAST(16 AS INTEGER) AS n_tag, text FROM conversations")
 def aes_au_roundtrip(spark, d):
     key = F.lit(bytes(range(32)))
     c = table(spark, d, "conversations").withColumn("aad", E.channel_aad(F.col("conv_id"), F.col("turn"), F.lit("text")))
     iv = F.substring(F.unhex(F.sha2(F.concat_ws(":", "conv_id", "turn"), 256)), F.lit(1), F.lit(12))
     box = c.withColumn("box", E.sealed(F.col("text").cast("binary"), key, iv, F.col("aad")))
-    return box.select("conv_id", "turn", (E.opened(F.col("box"), key, F.col("aad")) == F.col("text").cast("binary")).alias("same"))
+    plain = E.opened(F.col("box"), key, F.col("aad")).cast("string").alias("text")
+    return box.select("conv_id", "turn", F.octet_length("box.ciphertext").alias("n_ciphertext"), F.octet_length("box.tag").alias("n_tag"), plain)
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("SELECT doc_id, strlen(t) AS n_bases, strlen(regexp_replace(t, '[ACGT]', '', 'g')) AS n_exceptions, t AS unpacked FROM (SELECT doc_id, translate(text, 'acgteiou', 'ACGTACGT') AS t FROM documents)")
 def base_pack_roundtrip(spark, d):
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            same = [C.unpack_bases(C.pack_bases(x)) == x for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same)], ["doc_id", "same"])
-
-    acgt = F.translate(F.upper("text"), "EIOU", "ACGT").cast("binary")
-    return table(spark, d, "documents").select("doc_id", acgt.alias("x")).mapInArrow(run, "doc_id bigint, same boolean")
+            packed = [C.pack_bases(x or b"") for x in b.column(1).to_pylist()]
+            heads = [C.read_varint(p) for p in packed]
+            n, m = [h[0] for h in heads], [C.read_varint(p, h[1])[0] for p, h in zip(packed, heads, strict=True)]
+            back = pa.array([C.unpack_bases(p) for p in packed], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), back], ["doc_id", "n_bases", "n_exceptions", "unpacked"])
+
+    acgt = F.translate("text", "acgteiou", "ACGTACGT").cast("binary")
+    return table(spark, d, "documents").select("doc_id", acgt.alias("x")).mapInArrow(run, "doc_id bigint, n_bases bigint, n_exceptions bigint, unpacked string")
 
 
 @query("SELECT event_id, list_sum([event_id % 50, event_id % 50 + 3, event_id % 50 + 3, event_id % 50 + 1])::DOUBLE / 2 AS total FROM events")

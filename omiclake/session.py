@@ -27,8 +27,13 @@ def session(app: str = "omiclake", master: str | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode a folder of our own where it is unset.
+
+    On a cluster there is no such folder to be guessed, so that an unset one raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "omiclake")
         spark.sparkContext.setCheckpointDir(base)

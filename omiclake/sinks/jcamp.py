@@ -11,9 +11,14 @@ _DIFFERENCE = {v: k for k, v in DIFFERENCE.items()}
 
 
 def y_factor(values: list[float], digits: int = 7) -> float:
-    """A power of ten that gives the largest value so many digits; 1 of none."""
+    """The least power of ten by which the largest value is a number of at most so many digits, or their power of ten itself; 1 of none."""
     most = max((abs(v) for v in values), default=0.0)
-    return 1.0 if most == 0 else 10.0 ** (math.floor(math.log10(most)) + 1 - digits)
+    return 1.0 if most == 0 else 10.0 ** (math.ceil(math.log10(most)) - digits)
+
+
+def rounded(v: float) -> int:
+    """To the nearest whole number, halves away from zero."""
+    return math.floor(v + 0.5) if v >= 0 else math.ceil(v - 0.5)
 
 
 def _packed(n: int, table: dict[int, str]) -> str:
@@ -24,7 +29,7 @@ def _packed(n: int, table: dict[int, str]) -> str:
 
 def encoded(values: list[float], first_x: float, delta_x: float, factor: float, mode: str = "DIF", width: int = 10) -> list[str]:
     """(X++(Y..Y)) lines of PAC, SQZ or DIF form; a DIF line begins with the value that the last one ended in, as a check."""
-    y = [round(v / factor) for v in values]
+    y = [rounded(v / factor) for v in values]
     out, at = [], 0
     while at < len(y):
         part = y[at : at + width]

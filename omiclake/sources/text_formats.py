@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from omiclake.session import stored
+
 READ = (
     "run_name string, read_index bigint, read_name string, chromosome string, position bigint, mapping_quality int, cigar string, sequence string,"
     " qualities binary, flags bigint, mate_chromosome string, mate_position bigint, template_length int, tags string"
@@ -37,11 +39,26 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim(F.col("v")) != "").select(name.alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
 
 
+def dense(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a column that numbers them from 0 without gaps, in the order of files and of their parts.
+
+    Only a count of rows for each task reaches the driver.
+    """
+    spark, rows = rows.sparkSession, stored(rows.withColumn("_id", F.monotonically_increasing_id()))
+    part, total, starts = F.shiftright("_id", 33), 0, []
+    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
+        starts.append((r["p"], total))
+        total += r["count"]
+    known = F.broadcast(spark.createDataFrame(starts, "_p bigint, _first bigint"))
+    out = rows.join(known, part == F.col("_p"))
+    return out.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_first")
+
+
 def fasta_reads(spark: SparkSession, path: str, run_name: str = "run") -> DataFrame:
     """FASTA records as unaligned reads: flags 4, chromosome '*', position 0, mapping quality 255, qualities 0xFF."""
-    rows = fasta(spark, path)
+    rows = dense(fasta(spark, path), "read_index")
     return rows.select(
-        F.lit(run_name).alias("run_name"), F.monotonically_increasing_id().alias("read_index"), F.col("name").alias("read_name"), F.lit("*").alias("chromosome"),
+        F.lit(run_name).alias("run_name"), "read_index", F.col("name").alias("read_name"), F.lit("*").alias("chromosome"),
         F.lit(0).cast("long").alias("position"), F.lit(255).alias("mapping_quality"), F.lit("*").alias("cigar"), "sequence",
         F.expr("unhex(repeat('FF', length(sequence)))").alias("qualities"), F.lit(4).cast("long").alias("flags"),
     )
@@ -81,8 +98,9 @@ def sam(lines: DataFrame, run_name: str = "run", ordinal: Column | None = None)
     f = lambda i: F.get(c, F.lit(i))
     seq = F.when(f(9) == "*", "").otherwise(f(9))
     rows = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    rows = dense(rows, "_ordinal") if ordinal is None else rows.withColumn("_ordinal", ordinal)
     return rows.select(
-        F.lit(run_name).alias("run_name"), (F.monotonically_increasing_id() if ordinal is None else ordinal).alias("read_index"), f(0).alias("read_name"), f(2).alias("chromosome"),
+        F.lit(run_name).alias("run_name"), F.col("_ordinal").alias("read_index"), f(0).alias("read_name"), f(2).alias("chromosome"),
         f(3).cast("long").alias("position"), f(4).cast("int").alias("mapping_quality"), f(5).alias("cigar"), seq.alias("sequence"),
         F.when(f(10) == "*", F.unhex(F.repeat(F.lit("FF"), F.length(seq)))).otherwise(f(10).cast("binary")).alias("qualities"), f(1).cast("long").alias("flags"),
         F.when(f(6) == "=", f(2)).otherwise(f(6)).alias("mate_chromosome"), f(7).cast("long").alias("mate_position"), f(8).cast("int").alias("template_length"), F.coalesce(f(11), F.lit("")).alias("tags"),
