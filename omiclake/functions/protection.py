@@ -8,6 +8,7 @@ import hmac
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def channel_aad(dataset_id: Column, au_sequence: Column, channel: Column) -> Column:
@@ -46,5 +47,4 @@ def signed(df: DataFrame, column: str, key: bytes) -> DataFrame:
             out = [None if x is None else hmac.new(key, x, hashlib.sha256).hexdigest() for x in b.column(column).to_pylist()]
             yield b.append_column("hmac", pa.array(out, pa.string()))
 
-    schema = df.withColumn("hmac", F.lit("")).schema
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("hmac", StringType())]))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from omiclake.session import stored
@@ -31,32 +31,70 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first word of the header) and sequence of each record; sequence before a header, or no record at all, raises."""
-    lines = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.col("_metadata.file_block_start").alias("b"))
+    return _fasta(spark.read.option("lineSep", "\n>").text(path)).drop("path", "place")
+
+
+def _fasta(rows: DataFrame) -> DataFrame:
+    more = [c for c in ("path", "place") if c in rows.columns]
+    lines = rows.select(F.regexp_replace("value", "\r", "").alias("v"), *more)
     body = F.regexp_replace(F.col("v"), "^>", "")
     head = F.split(body, "\n", 2)
     bad = F.when((F.trim(F.col("v")) != "") & (F.trim(head[0]) == ""), F.raise_error(F.lit("a FASTA record needs a name")).cast("string"))
     name = F.coalesce(bad, F.regexp_extract(head[0], r"^(\S+)", 1))
-    return lines.where(F.trim(F.col("v")) != "").select(name.alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
+    return lines.where(F.trim(F.col("v")) != "").select(name.alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"), *more)
+
+
+def placed(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """value, path and place of each line of text files (split by Spark): places count from 0 in each file, in its order.
+
+    A part of a file is read by one task from its first line on, so that only the parts' counts need be summed.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    rows = stored(rows)
+    parts = rows.groupBy("path", "_start").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("path", "_start", "_low", before.alias("_before"))
+    return rows.join(parts, ["path", "_start"]).select("value", "path", (F.col("_id") - F.col("_low") + F.col("_before")).alias("place"))
 
 
 def dense(rows: DataFrame, name: str) -> DataFrame:
-    """rows with a column that numbers them from 0 without gaps, in the order of files and of their parts.
+    """rows with a column that numbers them from 0 without gaps, by path and place where they have them, else by their partitions.
 
-    Only a count of rows for each task reaches the driver.
+    Only a count of rows for each file or task reaches the driver.
     """
-    spark, rows = rows.sparkSession, stored(rows.withColumn("_id", F.monotonically_increasing_id()))
-    part, total, starts = F.shiftright("_id", 33), 0, []
+    spark, by_file = rows.sparkSession, "place" in rows.columns and "path" in rows.columns
+    rows = stored(rows if by_file else rows.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.col("path") if by_file else F.shiftright("_id", 33)
+    total, starts = 0, []
     for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
         starts.append((r["p"], total))
         total += r["count"]
-    known = F.broadcast(spark.createDataFrame(starts, "_p bigint, _first bigint"))
-    out = rows.join(known, part == F.col("_p"))
-    return out.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_first")
+    known = F.broadcast(spark.createDataFrame(starts, f"_p {'string' if by_file else 'bigint'}, _first bigint"))
+    inside = (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1) if by_file else F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    out = rows.withColumn("_in", inside).join(known, part == F.col("_p"))
+    return out.withColumn(name, F.col("_first") + F.col("_in")).drop("_id", "_p", "_first", "_in")
+
+
+def fastq_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, ordinal (within the file), name, sequence and qualities of four-line records, of files that Spark splits anywhere.
+
+    A record is four lines by their places in the file, wherever it is cut; lines that don't make records, and unequal
+    lengths, raise. Blank lines may only end a file.
+    """
+    lines = placed(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    at = lambda k: F.max(F.when(F.col("place") % 4 == k, F.col("value")))
+    rows = lines.groupBy("path", F.floor(F.col("place") / 4).alias("ordinal")).agg(*[at(k).alias(f"l{k}") for k in range(4)])
+    rows = rows.where(F.concat_ws("", "l0", "l1", "l2", "l3") != "")
+    good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    said = F.concat(F.col("path"), F.lit(": record "), F.col("ordinal").cast("string"), F.lit(" isn't a FASTQ record"))
+    name = F.when(F.coalesce(good, F.lit(False)), F.regexp_extract("l0", r"^@(\S*)", 1)).otherwise(F.raise_error(said).cast("string"))
+    return rows.select("path", "ordinal", name.alias("name"), F.col("l1").alias("sequence"), F.col("l3").cast("binary").alias("qualities"))
 
 
 def fasta_reads(spark: SparkSession, path: str, run_name: str = "run") -> DataFrame:
     """FASTA records as unaligned reads: flags 4, chromosome '*', position 0, mapping quality 255, qualities 0xFF."""
-    rows = dense(fasta(spark, path), "read_index")
+    rows = dense(_fasta(placed(spark, path, "\n>")), "read_index")
     return rows.select(
         F.lit(run_name).alias("run_name"), "read_index", F.col("name").alias("read_name"), F.lit("*").alias("chromosome"),
         F.lit(0).cast("long").alias("position"), F.lit(255).alias("mapping_quality"), F.lit("*").alias("cigar"), "sequence",
