@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from omiclake.functions.protection import opened, sealed
 
@@ -111,7 +111,7 @@ def sealed_headers(units: DataFrame, key: Column, iv: Column, aad: Column) -> Da
 def opened_headers(units: DataFrame, key: Column, aad: Column) -> DataFrame:
     """The header's fields again; a wrong key, tag or AAD raises."""
     out = units.withColumn("_header", opened(F.col("header"), key, aad)).drop("header")
-    kinds = {"B": "int", "d": "double"}
+    kinds = {"B": IntegerType(), "d": DoubleType()}
     schema = StructType([f for f in out.schema.fields if f.name != "_header"])
     for c, k in HEADER:
         schema = schema.add(c, kinds[k])

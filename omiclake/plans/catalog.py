@@ -533,3 +533,6 @@ def acquisition_simulator(spark, d):
     s = U.simulated(table(spark, d, "events").select(F.col("event_id").alias("value")), peaks=20)
     n = F.size("mz")
     return s.select("au_sequence", "ms_level", ((n >= 15) & (n <= 25) & (F.array_sort("mz") == F.col("mz")) & (F.array_max("intensity") == F.col("base_peak_intensity"))).alias("ok"))
+
+
+from omiclake.plans import catalog_more  # noqa: E402, F401  registers its queries
