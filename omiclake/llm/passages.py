@@ -118,7 +118,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...]
     every = stored(text_runs(texts, length, anchor, longest))
     # Most anchors occur once: their runs go no further. Counts are combined map-side; joins may split a hot anchor, as
     # nothing above them needs its rows together.
-    shared = every.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select("h")
+    shared = stored(every.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select("h"))
     own = stored(every.join(shared, "h"))
     each = own.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min("th").alias("first"))
     status = each.join(each.groupBy("h").agg(F.count("*").alias("m")), "h")
