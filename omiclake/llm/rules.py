@@ -8,6 +8,8 @@ the sample that the fit didn't see, and compared with a fixed threshold, in Arro
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -120,9 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = by_text(labelled_texts(docs, labels, "quality", sample), run, "at binary, value binary", ("doc_id", "y")).toArrow().combine_chunks()
     ids, y, at, value = got["doc_id"].to_pylist(), got["y"].to_pylist(), got["at"], got["value"]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], at[i].as_py(), value[i].as_py()))
-    # Views of the collected bytes, which are the bound of what the driver holds.
-    return fit([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(value[i].as_buffer(), np.float32), y[i]) for i in order])
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], zlib.crc32(at[i].as_buffer()), zlib.crc32(value[i].as_buffer())))
+    # Views of the collected bytes, which are all that the driver holds of them; they are given back after the fit.
+    model = fit([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(value[i].as_buffer(), np.float32), y[i]) for i in order])
+    del got, at, value
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def judged(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
