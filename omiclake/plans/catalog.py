@@ -187,15 +187,8 @@ def cigar_span(spark, d):
     return view(spark, d, "reads").select("read_index", J.reference_span(F.col("cigar")).alias("span"))
 
 
-@query(f", own AS (SELECT *, {SPAN} AS span FROM reads) SELECT DISTINCT read_index FROM own JOIN (SELECT 'chr' || CAST(s_suppkey % 3 + 1 AS VARCHAR) AS c, s_suppkey * 97 % 10000 AS s, s_suppkey * 97 % 10000 + 40 AS e FROM supplier WHERE s_suppkey < 20) ON c = chromosome AND position <= e AND position + greatest(span, 1) - 1 >= s", "reads")
-def mask_regions_overlap(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 20")
-    regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
-    return N.masked_reads(view(spark, d, "reads"), regions).select("read_index")
-
-
 @query(f", own AS (SELECT *, {SPAN} AS span FROM reads) SELECT DISTINCT read_index FROM own JOIN (SELECT 'chr' || CAST(s_suppkey % 3 + 1 AS VARCHAR) AS c, s_suppkey * 97 % 10000 AS s, s_suppkey * 97 % 10000 + 40 AS e FROM supplier) ON c = chromosome AND position <= e AND position + greatest(span, 1) - 1 >= s", "reads")
-def mask_regions_overlap_all(spark, d):
+def mask_regions_overlap(spark, d):
     s = table(spark, d, "supplier")
     regions = s.select(F.expr("'chr' || CAST(s_suppkey % 3 + 1 AS STRING)").alias("chromosome"), F.expr("s_suppkey * 97 % 10000").alias("start"), F.expr("s_suppkey * 97 % 10000 + 40").alias("end"))
     return N.masked_reads(view(spark, d, "reads"), regions).select("read_index")
@@ -277,10 +270,10 @@ def union_runs_first_wins(spark, d):
     return R.all_runs(a, b, c)
 
 
-@query("SELECT event_id, CASE WHEN e2 IS NULL THEN event_type ELSE e2 END AS entity FROM (SELECT event_id, event_type, 'SME_' || CAST(event_id % 300 AS VARCHAR) AS ph FROM events) f LEFT JOIN (SELECT 'SME_' || CAST(p_partkey AS VARCHAR) AS id, p_name AS e2 FROM part WHERE p_partkey < 200) p ON f.ph = p.id")
+@query("SELECT event_id, CASE WHEN e2 IS NULL THEN event_type ELSE e2 END AS entity FROM (SELECT event_id, event_type, 'SME_' || CAST(event_id % 3000 AS VARCHAR) AS ph FROM events) f LEFT JOIN (SELECT 'SME_' || CAST(p_partkey AS VARCHAR) AS id, p_name AS e2 FROM part) p ON f.ph = p.id")
 def feature_backfill(spark, d):
-    f = table(spark, d, "events").select("event_id", "event_type", F.concat(F.lit("SME_"), (F.col("event_id") % 300).cast("string")).alias("chemical_entity"))
-    e = table(spark, d, "part").where("p_partkey < 200").select(F.concat(F.lit("SME_"), F.col("p_partkey").cast("string")).alias("sme_id"), F.col("p_name").alias("chemical_entity"), F.lit(1).alias("rank"))
+    f = table(spark, d, "events").select("event_id", "event_type", F.concat(F.lit("SME_"), (F.col("event_id") % 3000).cast("string")).alias("chemical_entity"))
+    e = table(spark, d, "part").select(F.concat(F.lit("SME_"), F.col("p_partkey").cast("string")).alias("sme_id"), F.col("p_name").alias("chemical_entity"), F.lit(1).alias("rank"))
     out = R.backfill(f, e)
     return out.select("event_id", F.when(F.col("chemical_entity").startswith("SME_"), F.col("event_type")).otherwise(F.col("chemical_entity")).alias("entity"))
 
@@ -298,9 +291,11 @@ def mztab_pivot(spark, d):
     return R.pivoted(q, ["0", "1", "2"]).select("chemical_entity", F.col("0").alias("s0"), F.col("1").alias("s1"), F.col("2").alias("s2"))
 
 
-@query("SELECT sample_id, subject_id FROM samples WHERE subject_id <> 0 AND subject_id NOT IN (SELECT subject_id FROM subjects WHERE subject_id % 10 <> 3)", *COHORT)
+@query("SELECT sample_id, subject_id FROM (SELECT sample_id, CASE WHEN subject_id % 10 = 3 THEN -subject_id ELSE subject_id END AS subject_id FROM samples) WHERE subject_id <> 0 AND subject_id NOT IN (SELECT subject_id FROM subjects)", *COHORT)
 def soft_fk_orphans(spark, d):
-    return R.orphan_samples(view(spark, d, "samples"), view(spark, d, "subjects").where("subject_id % 10 <> 3")).select("sample_id", "subject_id")
+    own = F.col("subject_id")
+    samples = view(spark, d, "samples").withColumn("subject_id", F.when(own % 10 == 3, -own).otherwise(own))
+    return R.orphan_samples(samples, view(spark, d, "subjects")).select("sample_id", "subject_id")
 
 
 @query("SELECT name, CAST(row_number() OVER (ORDER BY f, name) - 1 AS INTEGER) AS id FROM (SELECT p_name AS name, min(p_partkey) AS f FROM part GROUP BY 1)")
@@ -308,8 +303,8 @@ def chrom_intern(spark, d):
     return R.interned(table(spark, d, "part").select(F.col("p_name").alias("name"), "p_partkey"), "name", "p_partkey")
 
 
-COS = """WITH s AS (SELECT CAST(label AS INTEGER) AS label, vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
- w AS (SELECT label, vec_id, unnest(range(8)) AS i, a FROM s),
+COS = """WITH s AS (SELECT CAST(label AS INTEGER) AS label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+ w AS (SELECT label, vec_id, unnest(range(len(a))) AS i, a FROM s),
  r AS (SELECT label, vec_id, i, a[i + 1] AS x FROM w),
  c AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS k, i, x - avg(x) OVER (PARTITION BY label, i) AS d, count(*) OVER (PARTITION BY label, i) AS m FROM r) """
 
@@ -319,16 +314,24 @@ def two_d_cos_sync(spark, d):
     return cos(spark, d).select("label", "i", "j", (F.round("synchronous", 6) + 0.0).alias("value"))
 
 
-@query(COS + "SELECT p.label, CAST(p.i AS INTEGER) AS i, CAST(q.i AS INTEGER) AS j, round(sum(CASE WHEN p.k = q.k THEN 0 ELSE p.d * q.d / (pi() * (q.k - p.k)) END) / (min(p.m) - 1), 6) + 0.0 AS value FROM c p JOIN c q ON p.label = q.label GROUP BY ALL")
+@query(COS + ", n AS (SELECT p.label, p.k, q.i, sum(q.d / (pi() * (q.k - p.k))) AS d FROM (SELECT DISTINCT label, k FROM c) p JOIN c q ON p.label = q.label AND p.k <> q.k GROUP BY ALL) SELECT p.label, CAST(p.i AS INTEGER) AS i, CAST(q.i AS INTEGER) AS j, round(sum(p.d * q.d) / (min(p.m) - 1), 6) + 0.0 AS value FROM c p JOIN n q ON p.label = q.label AND p.k = q.k GROUP BY ALL")
 def two_d_cos_async(spark, d):
     return cos(spark, d).select("label", "i", "j", (F.round("asynchronous", 6) + 0.0).alias("value"))
 
 
 def cos(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("intensity"))
+    e = table(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("intensity"))
     return A.correlation_2d(e, "label", "vec_id")
 
 
+#: Code points of a document's whole text, for DuckDB and for Spark; none of a null text.
+CODES = "list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: unicode(c))"
+
+
+def codes():
+    return F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), F.ascii)
+
+
 @query("SELECT event_id, CASE WHEN value + user_id > 0 THEN round(value / (value + user_id), 9) END AS ratio FROM events")
 def disrelation(spark, d):
     r = A.disrelation(F.col("value"), F.col("user_id").cast("double"))
@@ -340,9 +343,9 @@ def hilbert_noda(spark, d):
     return A.hilbert_noda(spark, 40).withColumn("value", F.round("value", 12))
 
 
-@query("SELECT doc_id, CAST(list_sum(list_transform(q, lambda x: CASE WHEN x < 2 THEN 0 WHEN x < 10 THEN 5 WHEN x < 20 THEN 15 WHEN x < 25 THEN 22 WHEN x < 30 THEN 27 WHEN x < 35 THEN 32 WHEN x < 40 THEN 37 ELSE 40 END)) AS BIGINT) AS total FROM (SELECT doc_id, list_transform(range(60), lambda i: (i * 7 + doc_id) % 94) AS q FROM documents)")
+@query("SELECT doc_id, CAST(coalesce(list_sum(list_transform(q, lambda x: CASE WHEN x < 2 THEN 0 WHEN x < 10 THEN 5 WHEN x < 20 THEN 15 WHEN x < 25 THEN 22 WHEN x < 30 THEN 27 WHEN x < 35 THEN 32 WHEN x < 40 THEN 37 ELSE 40 END)), 0) AS BIGINT) AS total FROM (SELECT doc_id, list_transform(" + CODES + ", lambda x: x % 94) AS q FROM documents)")
 def quality_binned(spark, d):
-    q = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: (i * 7 + F.col("doc_id")) % 94)
+    q = F.transform(codes(), lambda x: x % 94)
     return table(spark, d, "documents").select("doc_id", F.aggregate(F.transform(q, C.binned_quality), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -366,9 +369,9 @@ def delta_zigzag(spark, d):
     return table(spark, d, "events").select("event_id", z.alias("code")).select("event_id", "code", C.unzigzag(F.col("code")).alias("back"))
 
 
-@query("SELECT doc_id, CASE WHEN list_min(q) < 59 THEN 33 WHEN list_min(q) >= 64 AND list_max(q) <= 104 THEN 64 ELSE 33 END AS o FROM (SELECT doc_id, list_transform(range(20), lambda i: 58 + doc_id % 9 + i * (1 + doc_id % 4)) AS q FROM documents)")
+@query("SELECT doc_id, CASE WHEN list_min(q) < 59 THEN 33 WHEN list_min(q) >= 64 AND list_max(q) <= 104 THEN 64 ELSE 33 END AS o FROM (SELECT doc_id, list_transform(" + CODES + ", lambda x: 58 + doc_id % 9 + x % 40) AS q FROM documents)")
 def phred_detect(spark, d):
-    q = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: 58 + F.col("doc_id") % 9 + i * (1 + F.col("doc_id") % 4))
+    q = F.transform(codes(), lambda x: 58 + F.col("doc_id") % 9 + x % 40)
     return table(spark, d, "documents").select("doc_id", C.phred_offset(q).alias("o"))
 
 
@@ -410,9 +413,9 @@ def reference_md5(spark, d):
     return J.reference_md5(c)
 
 
-@query("SELECT coalesce(i.chemical_entity, q.p_name) AS chemical_entity, round(greatest(coalesce(b, 0), 0), 6) AS confidence, q.p_name IS NOT NULL AS quantified FROM (SELECT chemical_entity, max(confidence_score) AS b FROM identifications GROUP BY 1) i FULL JOIN (SELECT DISTINCT p_name FROM part WHERE p_size > 40) q ON i.chemical_entity = q.p_name", "identifications")
+@query("SELECT coalesce(i.chemical_entity, q.p_name) AS chemical_entity, round(greatest(coalesce(b, 0), 0), 6) AS confidence, q.p_name IS NOT NULL AS quantified FROM (SELECT chemical_entity, max(confidence_score) AS b FROM identifications GROUP BY 1) i FULL JOIN (SELECT DISTINCT CASE WHEN p_size > 40 THEN p_name ELSE p_brand END AS p_name FROM part) q ON i.chemical_entity = q.p_name", "identifications")
 def sml_best_confidence(spark, d):
-    q = table(spark, d, "part").where("p_size > 40").select(F.col("p_name").alias("chemical_entity"))
+    q = table(spark, d, "part").select(F.when(F.col("p_size") > 40, F.col("p_name")).otherwise(F.col("p_brand")).alias("chemical_entity")).distinct()
     return R.best_confidence(view(spark, d, "identifications"), q).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -423,9 +426,9 @@ def block_islands(spark, d):
     return J.block_islands(view(spark, d, "reads"), 2).select("run_name", "read_index", "block")
 
 
-@query("SELECT doc_id, round(len(regexp_replace(t, '[^ACGT]', '', 'g')) / len(t), 9) AS fraction FROM (SELECT doc_id, upper(lang) || repeat('ACGTN', CAST(1 + doc_id % 5 AS INTEGER)) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN len(t) = 0 THEN 1.0 ELSE round(len(regexp_replace(t, '[^ACGT]', '', 'g')) / len(t), 9) END AS fraction FROM (SELECT doc_id, coalesce(array_to_string(list_transform(" + CODES + ", lambda x: 'ACGTN'[x % 5 + 1]), ''), '') AS t FROM documents)")
 def packable_fraction(spark, d):
-    t = F.concat(F.upper("lang"), F.expr("repeat('ACGTN', CAST(1 + doc_id % 5 AS INT))"))
+    t = F.array_join(F.transform(codes(), lambda x: F.substr(F.lit("ACGTN"), x % 5 + 1, F.lit(1))), "")
     return table(spark, d, "documents").select("doc_id", F.round(J.packable_fraction(t), 9).alias("fraction"))
 
 
@@ -459,21 +462,15 @@ def sam_line_projection(spark, d):
     return S.sam_lines(sam_reads(spark, d)).select("read_index", "value")
 
 
-@query("SELECT read_index, CAST(row_number() OVER (ORDER BY chromosome, position, read_index) AS INTEGER) AS place FROM reads QUALIFY place <= 500", "reads")
-def sam_sort(spark, d):
-    first = S.coordinate_sorted(view(spark, d, "reads")).limit(500)
-    return first.select("read_index", F.row_number().over(Window.orderBy("chromosome", "position", "read_index")).alias("place"))
-
-
 @query("SELECT read_index, row_number() OVER (ORDER BY chromosome, position, read_index) AS place FROM reads", "reads")
-def sam_sort_all(spark, d):
+def sam_sort(spark, d):
     return S.coordinate_places(view(spark, d, "reads"))
 
 
-@query("SELECT r_name AS run_name, coalesce(string_agg(n_name, ';' ORDER BY n_nationkey), '') AS derived_files FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 12 GROUP BY 1")
+@query("SELECT r_name AS run_name, coalesce(string_agg(n_name, ';' ORDER BY n_nationkey), '') AS derived_files FROM region LEFT JOIN nation ON n_regionkey % 4 = r_regionkey GROUP BY 1")
 def isa_derived_list(spark, d):
     runs = table(spark, d, "region").select(F.col("r_name").alias("run_name"), "r_regionkey")
-    c = table(spark, d, "nation").where("n_nationkey < 12").join(F.broadcast(runs), F.col("n_regionkey") == F.col("r_regionkey")).select("run_name", F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"))
+    c = table(spark, d, "nation").join(F.broadcast(runs), F.col("n_regionkey") % 4 == F.col("r_regionkey")).select("run_name", F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"))
     return S.isa_assays(runs, c)
 
 

@@ -55,7 +55,7 @@ def test_entry_point_works_without_the_llm_part():
 
 
 def test_the_sort_gives_every_read_its_place(spark):
-    got = {r["read_index"]: r["place"] for r in catalog.sam_sort_all(spark, FOLDER).collect()}
+    got = {r["read_index"]: r["place"] for r in catalog.sam_sort(spark, FOLDER).collect()}
     assert len(got) == catalog.view(spark, FOLDER, "reads").count() > 500
     assert sorted(got.values()) == list(range(1, len(got) + 1))
 
@@ -65,6 +65,7 @@ def test_mask_regions_come_from_all_suppliers(spark):
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    got = sorted(r[0] for r in catalog.mask_regions_overlap_all(spark, folder).collect())
-    assert got == sorted(r[0] for r in c.sql(catalog.ORACLES["mask_regions_overlap_all"]).fetchall())
-    assert len(got) > catalog.mask_regions_overlap(spark, folder).count()
+    got = sorted(r[0] for r in catalog.mask_regions_overlap(spark, folder).collect())
+    assert got == sorted(r[0] for r in c.sql(catalog.ORACLES["mask_regions_overlap"]).fetchall())
+    few = catalog.ORACLES["mask_regions_overlap"].replace("FROM supplier)", "FROM supplier WHERE s_suppkey < 20)")
+    assert few != catalog.ORACLES["mask_regions_overlap"] and len(got) > len(c.sql(few).fetchall())
