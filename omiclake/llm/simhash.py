@@ -14,6 +14,7 @@ the number of distinct fingerprints near it, not by rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from omiclake.llm.common import by_text, documents, fresh, raw, small_batches, stored
+from omiclake.llm.common import by_text, documents, fresh, mixed, raw, small_batches, stored
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -149,14 +150,37 @@ def links(distinct: DataFrame, threshold: int = 4, partitions: int | None = None
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node and root (the smallest node it reaches) for every node of the edges u, v: star contraction.
+def least_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """label, where each place names a smaller one of its group or itself, after the edges u, v join groups: the smallest of each."""
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+#: Up to so many edges (4 MB) are joined by the driver, which takes no rounds; more stay distributed.
+LOCAL = 1 << 18
+
+
+def components(edges: DataFrame, most: int = 60, local: int = LOCAL) -> DataFrame:
+    """node and root (the smallest node it reaches) for every node of the edges u, v, once each: star contraction.
 
     Each round turns every node to its smallest neighbour, first among the larger ones, then among the
     smaller. Rounds go to the shared folder; they end when a round changes nothing. A hot node's rows
-    are counted map-side and its join can be split, so that no task must hold them all.
+    are counted map-side and its join can be split, so that no task must hold them all. Few edges take no rounds.
     """
-    edges = stored(edges)
+    edges = stored(edges.select("u", "v"))
+    if edges.count() <= local:
+        got = edges.toArrow()
+        ends = np.stack([got[c].to_numpy() for c in ("u", "v")]).astype(np.int64)
+        node, at = np.unique(ends, return_inverse=True)
+        root = node[least_labels(np.arange(len(node)), *at.reshape(2, -1))]
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), "node bigint, root bigint")
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -171,7 +195,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
@@ -189,8 +213,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4) -> Data
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text in near_copies, and bits at which two of one kind make a candidate.
-KINDS, CANDIDATE_BITS = 3, 12
+#: Fingerprints of a text in near_copies, which bring texts to anchors.
+KINDS = 3
+#: Odd multipliers, one for each bit of a text's sketch.
+DRAWS = (mixed(np.arange(1, 129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: The chance that a sketch parts two texts of just the similarity asked for, at most.
+PARTED = 1e-12
 #: Up to so many texts of an anchor's group are paired at once; larger groups are compared in blocks.
 ALL_PAIRS = 6
 #: Texts of a block, about.
@@ -218,34 +246,69 @@ def word_sets(text: bytes) -> tuple[int, list[int]]:
 def shingles(text: bytes, words: int) -> bytes:
     """Sorted distinct 32-bit hashes of a text's shingles."""
     w = text.lower().split()
-    h = [xxhash.xxh32_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))]
-    return np.unique(np.array(h, np.uint32)).tobytes()
+    joined, n = b" ".join(w), max(1, len(w) - words + 1)
+    end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    start = [0, *(end + 1).tolist()][:n]
+    h = xxhash.xxh32_intdigest
+    return np.unique(np.array([h(joined[i:j], SEED) for i, j in zip(start, end[words - 1 :].tolist() or [len(joined)], strict=True)], np.uint32)).tobytes()
+
 
+def sketch(own: np.ndarray, block: int = 256) -> np.ndarray:
+    """128 bits as two longs of a set of hashes: one bit of the least hash of each draw. Two sets of similarity s differ in each with chance (1 - s) / 2."""
+    x = (mixed(own.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.min([(x[i : i + block] * DRAWS).min(axis=0) for i in range(0, len(x), block)], axis=0)
+    return np.packbits((mixed(least.astype(np.uint64)) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
 
-def candidate_pairs(fp: np.ndarray, home: np.ndarray, t: np.ndarray, bits: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def sketch_bits(similarity: float, chance: float = PARTED, bits: int = 128) -> int:
+    """The fewest differing bits that sketches of sets at least so similar exceed with that chance at most."""
+    p, over = (1 - similarity) / 2, 0.0
+    for k in range(bits, 0, -1):
+        over += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if over > chance:
+            return k
+    return 0
+
+
+def candidate_pairs(bits: np.ndarray, size: np.ndarray, home: np.ndarray, t: np.ndarray, similarity: float, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of an anchor's near pairs, and their kind: 0 of a small group, 1 a text of a large one with its leader, 2 a leader with the first one.
 
-    In a large group each text not near an earlier leader becomes one, in the order of t, and every other that is at home here
-    meets the first leader near it.
+    Rows come by ascending size of their shingle sets. Near are those whose sizes allow the similarity, which loses none, and
+    whose sketches (two rows of bits) do. In a large group each text not near an earlier leader becomes one, in the order of
+    t, and every other that is at home here meets the first leader near it.
     """
-    label, out = groups_at(fp, home, bits, block), [np.zeros((0, 3), np.int64)]
-    x = fp.view(np.uint64)
-    for g in np.unique(label[label != np.arange(len(fp))]):
-        own = np.flatnonzero(label == g)
-        own = own[np.argsort(t[own], kind="stable")]
+    x, most = bits.view(np.uint64), sketch_bits(similarity)
+    label, out, own = np.arange(len(t)), [np.zeros((0, 3), np.int64)], np.flatnonzero(home)
+
+    def alike(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x[0][i] ^ x[0][j]).astype(np.int16) + np.bitwise_count(x[1][i] ^ x[1][j]) <= most
+
+    low, high = np.searchsorted(size, np.ceil(size[own] * similarity - 1e-9)), np.searchsorted(size, np.floor(size[own] / similarity + 1e-9), side="right")
+    step = max(1, block // max(1, int((high - low).max(initial=1))))
+    for at in range(0, len(own), step):
+        many = (high - low)[at : at + step]
+        i = np.repeat(own[at : at + step], many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many - low[at : at + step], many)
+        near = alike(i, j) & (i != j)
+        label = least_labels(label, i[near], j[near])
+    grouped = np.flatnonzero(np.bincount(label, minlength=len(t))[label] > 1)
+    grouped = grouped[np.lexsort((t[grouped], label[grouped]))]
+    for own in np.split(grouped, np.flatnonzero(np.diff(label[grouped])) + 1) if len(grouped) else ():
         large = len(own) > ALL_PAIRS
-        met = np.zeros(len(fp), bool)
+        met = np.zeros(len(own), bool)
         for k, i in enumerate(own):
-            if large and met[i]:
+            if large and met[k]:
                 continue
-            near = own[k + 1 :]
-            near = near[(np.bitwise_count(x[near] ^ x[i]) <= bits) & ~(large & met[near])]
+            rest = np.flatnonzero(~met[k + 1 :]) + k + 1 if large else np.arange(k + 1, len(own))
+            j = own[rest]
+            near = alike(i, j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+            rest, j = rest[near], j[near]
             if large:
-                met[near] = True
-                near = near[home[near]]
+                met[rest] = True
+                j = j[home[j]]
                 if k:
                     out.append(np.array([[own[0], i, 2]]))
-            out.append(np.stack([np.full(len(near), i), near, np.full(len(near), int(large))], axis=1))
+            out.append(np.stack([np.full(len(j), i), j, np.full(len(j), int(large))], axis=1))
     u, v, kind = np.concatenate(out).T
     return u, v, kind
 
@@ -323,8 +386,9 @@ def blockwise(clusters: DataFrame, root: DataFrame, sets: DataFrame, similarity:
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id: documents whose shingle sets are so similar, or whose words are equal, are linked.
 
-    Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; each
-    pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
+    Candidates come from anchor covering over fingerprints of a text's distinct words, which a few edits hardly change; texts
+    that meet there are told apart by the sizes and the sketches of their shingle sets, so that unlike ones make no pairs however
+    many texts there are. Each pair is then held exactly against the similarity of its shingle sets. Equal word sequences are one text.
     Of a large group each text is first held against its leader. What that links is contracted; then the texts outside the
     largest component of their groups are compared with all of the groups in blocks, which give links only.
     Null and wordless texts are one text, texts of fewer words one shingle. Beside them come t, the hash of the row's words, and
@@ -334,28 +398,30 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def prints(texts: list[bytes]) -> dict:
-        own = [word_sets(t) for t in texts]
-        return {"t": pa.array(np.array([t for t, _ in own], np.uint64).view(np.int64)), "prints": pa.array([p for _, p in own], pa.list_(pa.int64()))}
+        own, sets = [word_sets(t) for t in texts], [np.frombuffer(shingles(t, words), np.uint32) for t in texts]
+        marks = [p + sketch(x).tolist() for (_, p), x in zip(own, sets, strict=True)]
+        return {"t": pa.array(np.array([t for t, _ in own], np.uint64).view(np.int64)), "prints": pa.array(marks, pa.list_(pa.int64())), "size": pa.array([len(x) for x in sets], pa.int32())}
 
-    known = stored(by_text(docs, prints, "t bigint, prints array<bigint>"))
+    known = stored(by_text(docs, prints, "t bigint, prints array<bigint>, size int"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS)
+                t, p, size = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, KINDS + 2), b.column(2).to_numpy()
                 for k in range(KINDS):
                     order = np.argsort(p[:, k], kind="stable")
                     distinct, first, count = np.unique(p[order, k], return_index=True, return_counts=True)
                     at, who, home = anchors(distinct, len(SEGMENTS))
                     place = np.searchsorted(distinct, who)
                     times = count[place]
-                    of = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.repeat(at | k << 24, times), np.repeat(who, times), t[order][of], np.repeat(home, times)))), ["at", "fp", "t", "home"])
+                    of = order[np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                    marked = size[of] << 1 | np.repeat(home, times)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.repeat(at | k << 24, times), marked.astype(np.int32), t[of], p[of, KINDS], p[of, KINDS + 1]))), ["at", "size", "t", "x", "y"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            own = [b.column(i).to_numpy() for i in range(5)]
             if rest:
                 own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
             cut = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1]) if len(own[0]) else np.zeros(1, int)
@@ -366,17 +432,18 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     def found(own: list[np.ndarray], cut: list[int]) -> pa.RecordBatch:
         out = [np.zeros((0, 3), np.int64)]
+        home = own[1] & 1 == 1
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if j - i > 1 and own[3][i:j].any():
-                _, fp, t, home = (x[i:j] for x in own)
-                a, b, kind = candidate_pairs(fp, home, t, CANDIDATE_BITS)
+            if j - i > 1 and home[i:j].any():
+                _, size, t, x, y = (c[i:j] for c in own)
+                a, b, kind = candidate_pairs(np.stack([x, y]), size >> 1, home[i:j], t, similarity)
                 out.append(np.stack([t[a], t[b], kind], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)  # a pair may meet at several anchors of a task
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["u", "v", "kind"])
 
-    own = known.select("t", "prints").dropDuplicates(["t"])
-    spread = own.mapInArrow(replicate, "at bigint, fp bigint, t bigint, home boolean")
-    pairs = stored(spread.repartition(n, "at").sortWithinPartitions("at").mapInArrow(compare, "u bigint, v bigint, kind bigint").distinct())
+    own = known.select("t", "prints", "size").dropDuplicates(["t"])
+    spread = own.mapInArrow(replicate, "at bigint, size int, t bigint, x bigint, y bigint")
+    pairs = stored(spread.repartition(n, "at").sortWithinPartitions("at", "size").mapInArrow(compare, "u bigint, v bigint, kind bigint").distinct())
     # Of a large group's leaders a text is held against the first one only, whatever the anchor.
     first = pairs.where("kind = 1").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     tested = pairs.where("kind = 0").select("u", "v").union(first).distinct()
@@ -387,7 +454,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     # The texts of candidates only, one for each word sequence, whatever the rows' doc_id.
     wanted = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
-    texts = by_text(docs, pack, "t bigint, z binary", ()).dropDuplicates(["t"]).join(wanted, "t", "left_semi")
+    texts = by_text(docs, pack, "t bigint, z binary", ()).join(wanted, "t", "left_semi").dropDuplicates(["t"])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()

@@ -513,3 +513,51 @@ def test_blocks_link_all_similar_texts_of_different_roots(spark):
         return label
 
     assert similar and labels([(r["u"], r["v"]) for r in got]) == labels(similar)
+
+
+def test_sketches_part_unlike_sets_and_no_similar_ones():
+    rng, most = np.random.default_rng(2), simhash.sketch_bits(0.8)
+    differ = lambda a, b: int(np.bitwise_count(simhash.sketch(a).view(np.uint64) ^ simhash.sketch(b).view(np.uint64)).sum())
+    near, far = [], []
+    for n in (9, 90, 900):
+        for _ in range(200):
+            x = rng.integers(0, 2**32, n + n // 9, dtype=np.uint32)
+            near.append(differ(x[:n], x[n // 9 :]))  # similarity 0.8
+            far.append(differ(x[:n], rng.integers(0, 2**32, n, dtype=np.uint32)))
+    assert max(near) <= most and sum(f <= most for f in far) <= 2
+
+
+def test_texts_of_an_anchor_that_are_unlike_make_no_pairs():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**32, int(n), dtype=np.uint32) for n in np.sort(rng.integers(150, 400, 300))]
+    sets[200] = np.concatenate([sets[199][10:], sets[200][:10]])
+    sets.sort(key=len)
+    copies = [k for k, s in enumerate(sets) for z in sets if s is not z and len(np.intersect1d(s, z)) > 100]
+    bits = np.array([simhash.sketch(s) for s in sets]).T
+    u, v, kind = simhash.candidate_pairs(bits, np.array(list(map(len, sets))), np.ones(300, bool), np.arange(300), 0.8)
+    assert {frozenset(p) for p in zip(u.tolist(), v.tolist(), strict=True)} == {frozenset(copies)} and kind.tolist() == [0]
+
+
+def test_near_copies_take_candidates_by_the_likeness_of_their_shingles(spark, monkeypatch):
+    rng = random.Random(12)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    data = [" ".join(rng.sample(common, 80)) for _ in range(60)]  # equal words, unlike shingles
+    seen, kept = [], simhash.stored
+
+    def spy(df):
+        out = kept(df)
+        if "kind" in df.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", spy)
+    table = spark.createDataFrame(list(enumerate([*data, data[7] + " end"])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table).collect()}
+    assert got == {k: k for k in range(60)} | {60: 7} and seen == [1]
+
+
+def test_components_joined_by_the_driver_and_by_rounds_agree(spark):
+    rng = random.Random(13)
+    table = spark.createDataFrame([tuple(rng.sample(range(400), 2)) for _ in range(230)], "u bigint, v bigint")
+    few, rounds = (sorted(map(tuple, simhash.components(table, local=n).collect())) for n in (simhash.LOCAL, 0))
+    assert few == rounds and len(few) == len({k for k, _ in few})
