@@ -561,3 +561,15 @@ def test_components_joined_by_the_driver_and_by_rounds_agree(spark):
     table = spark.createDataFrame([tuple(rng.sample(range(400), 2)) for _ in range(230)], "u bigint, v bigint")
     few, rounds = (sorted(map(tuple, simhash.components(table, local=n).collect())) for n in (simhash.LOCAL, 0))
     assert few == rounds and len(few) == len({k for k, _ in few})
+
+
+def test_rules_hold_packed_features_that_give_the_same_fit():
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    data = [(" ".join(rng.choices(words[: 150 + 150 * (k % 2)], k=120)).encode(), k % 2) for k in range(60)]
+    rows = [(*rules.sparse(Text(t)), y) for t, y in data]
+    rows = [(a, v.astype(np.float32), y) for a, v, y in rows]
+    small = rules.Packed([(rules.packed(a, v), y) for a, v, y in rows])
+    assert sum(len(z) for z, _ in small.rows) < 0.6 * sum(4 * len(a) + 4 * len(v) for a, v, _ in rows)
+    whole, got = rules.fit(rows), rules.fit(small)
+    assert (whole.weights == got.weights).all() and (whole.bias, whole.a, whole.b) == (got.bias, got.a, got.b)
