@@ -573,3 +573,16 @@ def test_rules_hold_packed_features_that_give_the_same_fit():
     assert sum(len(z) for z, _ in small.rows) < 0.6 * sum(4 * len(a) + 4 * len(v) for a, v, _ in rows)
     whole, got = rules.fit(rows), rules.fit(small)
     assert (whole.weights == got.weights).all() and (whole.bias, whole.a, whole.b) == (got.bias, got.a, got.b)
+
+
+def test_classes_are_fitted_on_all_training_documents(spark):
+    rng = random.Random(15)
+    tokens = [f"w{i:03d}" for i in range(200) for _ in range(20 + i)]
+    rng.shuffle(tokens)
+    data = [(i, " ".join(tokens[6 * i : 6 * i + 6])) for i in range(len(tokens) // 6)]
+    data.append((1, " ".join(f"w{i:03d}" for i in range(200))))
+    spread = collections.Counter(w for i, t in data if zlib.crc32(str(i).encode()) % 10 for w in set(t.split()))
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    gate, again = lm.classes(table.repartition(2)), lm.classes(table.repartition(3))
+    assert [w.decode() for w in gate.place] == sorted(spread, key=lambda w: (-spread[w], w))
+    assert gate.place == again.place and (gate.centres == again.centres).all() and gate.centres.any(axis=1).all()
