@@ -17,7 +17,10 @@ from omiclake.llm.tokenfile import op7_token_files
 QUERIES = {
     f.__name__: f
     for f in (op1_context_mixing_score, op2_simhash_near_dedup, op3_quality_classifier, op4_weighted_fingerprints, op5_byte_level_bpe, op6_quality_rules, op7_token_files, op8_hash_tree_sharding, op9_mix_sources, op10_suffix_array_dedup)
-} | contract.QUERIES
+}
+
+#: Their columns that SQL can give.
+COLUMN_QUERIES = contract.QUERIES
 
 #: For the columns of contract only: hashes of shingles, trained models, token ids and byte ranges aren't for SQL.
 ORACLE_SQL: dict[str, str] = dict(contract.ORACLE_SQL)
