@@ -10,12 +10,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from omiclake.llm import bpe, cws, gbt, hashtree, lm, mixing, passages, rules, simhash, suffixes, tokenfile
+from omiclake.llm.common import small_batches
 from omiclake.llm.textstats import Text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -586,3 +588,33 @@ def test_classes_are_fitted_on_all_training_documents(spark):
     gate, again = lm.classes(table.repartition(2)), lm.classes(table.repartition(3))
     assert [w.decode() for w in gate.place] == sorted(spread, key=lambda w: (-spread[w], w))
     assert gate.place == again.place and (gate.centres == again.centres).all() and gate.centres.any(axis=1).all()
+
+
+def test_lm_reads_texts_once_and_scores_alike_in_blocks_of_any_size(spark, docs, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    whole = by_text(lm.scored(docs.mapInArrow(counted, docs.schema)), docs)
+    assert read.value == docs.count()
+    monkeypatch.setattr(lm, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 5)
+    parts = by_text(lm.scored(docs), docs)
+    small_batches(spark)
+    for k, rows in whole.items():
+        for a, b in zip(rows, parts[k], strict=True):
+            assert (a["n_tokens"], a["n_known"], a["train_tokens"], a["held_out"]) == (b["n_tokens"], b["n_known"], b["train_tokens"], b["held_out"])
+            assert b["base_score"] == pytest.approx(a["base_score"], rel=1e-9) and b["score"] == pytest.approx(a["score"], rel=0.05)
+
+
+def test_bags_of_words_match_brute_force():
+    texts = ["  a B\tc\x0b d\x0c\r\nE  a ", "", "   ", "\xc9 x  y \xc9", "\x1c\x1d a\x85b", "a a a"]
+    named, sizes, numbers, times = lm.bags(pa.array(texts))
+    named, at = named.to_pylist(), 0
+    for t, n in zip(texts, sizes, strict=True):
+        own = dict(zip((named[i] for i in numbers[at : at + n]), times[at : at + n], strict=True))
+        assert own == collections.Counter([*(w.encode() for w in words(lower(t))), b"\n"])
+        at += n
