@@ -618,3 +618,10 @@ def test_bags_of_words_match_brute_force():
         own = dict(zip((named[i] for i in numbers[at : at + n]), times[at : at + n], strict=True))
         assert own == collections.Counter([*(w.encode() for w in words(lower(t))), b"\n"])
         at += n
+
+
+def test_blocks_without_common_words_are_of_the_first_class():
+    docs = lm.packed(doc_id=[1, 2], fold=np.ones(2, np.int8), bytes=np.zeros(2, np.int64), size=np.ones(2, np.int64))
+    block = lm.Block(docs, lm.packed(word=np.zeros(2, np.int32), times=np.ones(2, np.int32)), lm.packed(word=pa.array([b"\n"])))
+    gate = lm.Classes([b"x"])
+    assert not gate.vectors(block).any() and gate.of(block).tolist() == [0, 0]
