@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omiclake.operators.analysis import coarsen, mask_below_quantile
@@ -92,14 +92,26 @@ def read_key(reads: DataFrame) -> list[str]:
 
 
 def masked_reads(reads: DataFrame, regions: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
-    """run_name (where reads have one) and read_index of the reads that overlap a region, once each. Both sides meet by bins of the genome, not by a range join."""
+    """run_name (where reads have one) and read_index of the reads that overlap a region, once each.
+
+    Both sides meet by bins of the genome. A bin is one row, so that a read meets it once however many regions it holds: the
+    starts in it, ascending, each with the largest end so far, bin_size at most. A read finds its last start by halving.
+    """
     key = read_key(reads)
-    bins = lambda low, high: F.explode(F.sequence(F.floor(low / bin_size), F.floor(high / bin_size)))
+    bin_of = lambda x: F.floor(x / bin_size)
+    bins = lambda low, high: F.explode(F.sequence(bin_of(low), bin_of(F.greatest(low, high))))
     last = F.col("position") + F.greatest(reference_span(F.col("cigar")), F.lit(1)) - 1
-    own = reads.select(*key, "chromosome", "position", "cigar", bins(F.col("position"), last).alias("_bin"))
-    region = regions.select("chromosome", "start", "end", bins(F.col("start"), F.col("end")).alias("_bin"))
-    hit = own.join(region, ["chromosome", "_bin"]).where(overlaps(F.col("position"), F.col("cigar"), F.col("start"), F.col("end")))
-    return hit.select(*key).distinct()
+    own = reads.select(*key, "chromosome", "position", last.alias("_last")).select("*", bins(F.col("position"), F.col("_last")).alias("_bin"))
+    # A read in a bin ends after its begin: regions that start before it count from there.
+    region = regions.where(F.col("end").isNotNull()).select("chromosome", "start", "end", bins(F.col("start"), F.col("end")).alias("_bin"))
+    region = region.groupBy("chromosome", "_bin", F.greatest(F.col("start"), F.col("_bin") * bin_size).alias("start")).agg(F.max("end").alias("end"))
+    w = Window.partitionBy("chromosome", "_bin").orderBy("start")
+    region = region.withColumn("most", F.max("end").over(w)).withColumn("before", F.lag("most").over(w)).where("before IS NULL OR most > before")
+    region = region.groupBy("chromosome", "_bin").agg(F.array_sort(F.collect_list(F.struct("start", "most"))).alias("_at"))
+    region = region.select("chromosome", "_bin", F.col("_at.start").alias("_starts"), F.col("_at.most").alias("_ends"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bin_size.bit_length()))])
+    n = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("_starts", n + step - 1) <= F.col("_last"), n + step).otherwise(n))
+    return own.join(region, ["chromosome", "_bin"]).where(F.get("_ends", n - 1) >= F.col("position")).select(*key).distinct()
 
 
 def mask_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:

@@ -85,6 +85,32 @@ def test_masking_by_overlap(spark):
     assert ids(anonymise.masked_reads(reads, regions, bin_size=16), "read_index") == [0, 2, 5]
 
 
+def joined_rows(df):
+    """Rows that each join of a plan gave, after it ran."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            out.append(p.metrics().apply("numOutputRows").value())
+        inner = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan() if p.nodeName().endswith("QueryStage") else None
+        todo += [inner] if inner else [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_masking_matches_brute_force_and_meets_a_bin_once(spark):
+    rng = random.Random(5)
+    cigar = lambda: rng.choice(["*", "7M", "3M40N2M", "30M2D", "9S4M"])
+    reads = spark.createDataFrame([(i, rng.choice("cd"), rng.randrange(900), cigar()) for i in range(400)] + [(400, None, 5, "9M")], "read_index long, chromosome string, position long, cigar string")
+    some = [("c", s := rng.randrange(900), s + rng.choice([0, 3, 9, -4, 120])) for _ in range(40)] + [("d", 500, 501), ("c", None, 4), ("c", 4, None)]
+    regions = lambda rows: spark.createDataFrame(rows, "chromosome string, start long, end long")
+    for size in (1, 16, 1 << 14):
+        plain = reads.join(regions(some), "chromosome").where(anonymise.overlaps(F.col("position"), F.col("cigar"), F.col("start"), F.col("end")))
+        want = sorted({r["read_index"] for r in plain.collect()})
+        assert ids(anonymise.masked_reads(reads, regions(some), size), "read_index") == want and 50 < len(want) < 350
+    many = anonymise.masked_reads(reads, regions([(c, i, 1000 - i) for c in "cd" for i in range(300)]))
+    assert len(many.collect()) == 400 and max(joined_rows(many)) <= 400
+
+
 def test_interning_and_concatenation(spark):
     df = spark.createDataFrame([("b", 0), ("a", 1), ("*", 2), ("b", 3), ("", 4)], "chromosome string, read_index long")
     assert {r["chromosome"]: r["id"] for r in relations.interned(df, "chromosome", "read_index").collect()} == {"b": 0, "a": 1, "*": 65535, "": 65535}
