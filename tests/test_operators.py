@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from omiclake.functions import codecs, protection
-from omiclake.operators import anonymise, cohort, filters, projections, relations
+from omiclake.operators import analysis, anonymise, cohort, filters, projections, relations
 from omiclake.sinks import text_lines
 from omiclake.sources import packets, spectra_xml, text_formats
 from omiclake.streaming import units
@@ -111,6 +111,36 @@ def test_masking_matches_brute_force_and_meets_a_bin_once(spark):
     assert len(many.collect()) == 400 and max(joined_rows(many)) <= 400
 
 
+def test_correlations_match_whole_matrices_and_are_cut_by_column_and_frequency(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "FREQUENCIES", 8)
+    rng = np.random.default_rng(2)
+    sizes = {"a": (2, 3), "b": (33, 3), "c": (50, 1), None: (7, 2)}
+    data = {g: rng.normal(size=s) for g, s in sizes.items()}
+    rows = [(g, k, x.tolist()) for g, a in data.items() for k, x in enumerate(a)]
+    random.Random(1).shuffle(rows)
+    spectra = spark.createDataFrame(rows, "run string, at long, intensity array<double>").repartition(3)
+    for mean in (None, 0.25):
+        for g, a in data.items():
+            own = spectra.where(F.col("run").eqNullSafe(g))
+            m, n = a.shape
+            d = a - (a.mean(axis=0) if mean is None else mean)
+            gap = np.arange(m)[None, :] - np.arange(m)[:, None]
+            noda = np.divide(1, np.pi * gap, out=np.zeros((m, m)), where=gap != 0)
+            got = {(r["i"], r["j"]): (r["synchronous"], r["asynchronous"]) for r in analysis.correlation_2d(own, "run", "at", reference=None if mean is None else [mean] * n).collect()}
+            want = {(i, j): (s, p) for i in range(n) for j in range(n) for s, p in [((d.T @ d / (m - 1))[i, j], (d.T @ noda @ d / (m - 1))[i, j])]}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert analysis.correlation_2d(spectra, "run", "at").count() == sum(n * n for _, n in sizes.values())
+    for bad in ([("x", 0, [1.0])], [("x", 0, [1.0, 2.0]), ("x", 1, [1.0])], [("x", k, [1.0] * (2 if k < 20_000 else 3)) for k in range(20_003)]):
+        with pytest.raises(Exception, match="equal length"):
+            analysis.correlation_2d(spark.createDataFrame(bad, spectra.schema), "run", "at").collect()
+
+
+def test_a_long_group_needs_no_square_matrix(spark):
+    rows = spark.range(150_000).select(F.lit("x").alias("run"), "id", F.array(F.sin(F.col("id") / 9), F.cos(F.col("id") / 9)).alias("intensity"))
+    got = {(r["i"], r["j"]): r["asynchronous"] for r in analysis.correlation_2d(rows, "run", "id").collect()}  # 180 GB as a matrix
+    assert got[0, 0] == pytest.approx(0, abs=1e-9) and got[0, 1] == pytest.approx(-got[1, 0]) and got[0, 1] == pytest.approx(-(1 - 1 / (9 * np.pi)) / 2, abs=1e-3)
+
+
 def test_interning_and_concatenation(spark):
     df = spark.createDataFrame([("b", 0), ("a", 1), ("*", 2), ("b", 3), ("", 4)], "chromosome string, read_index long")
     assert {r["chromosome"]: r["id"] for r in relations.interned(df, "chromosome", "read_index").collect()} == {"b": 0, "a": 1, "*": 65535, "": 65535}
