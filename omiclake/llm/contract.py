@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from omiclake.llm import cws
 from omiclake.llm.bpe import op5_byte_level_bpe
-from omiclake.llm.cws import op4_weighted_fingerprints
+from omiclake.llm.common import documents
 from omiclake.llm.hashtree import op8_hash_tree_sharding
 from omiclake.llm.lm import op1_context_mixing_score
 from omiclake.llm.mixing import op9_mix_sources
@@ -47,8 +48,8 @@ def lm_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @contract(f"""WITH d AS (SELECT doc_id, {TEXT} AS t, coalesce(lead({TEXT}) OVER (ORDER BY doc_id), first_value({TEXT}) OVER (ORDER BY doc_id)) AS nx FROM documents)
  SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2)) AS edited_sha256 FROM d""")
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited texts of operator 4."""
-    return op4_weighted_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+    """The edited texts of operator 4, by its own step; no fingerprints are drawn for them."""
+    return cws.edits(cws.edited_rows(documents(spark, sf_dir)))
 
 
 @contract(f"SELECT doc_id, sha256({TEXT}) AS decoded_sha256 FROM documents")

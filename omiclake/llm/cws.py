@@ -119,17 +119,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     return every.select("_bucket", F.row_number().over(w).alias("_at"), "doc_id", "text", F.lead("text").over(w).alias("next"), "extra")
 
 
+def edited_rows(docs: DataFrame) -> DataFrame:
+    """with_next's rows and the edited text: the last half of the characters replaced by the first as many (or all) of next."""
+    rows = with_next(docs)
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (F.char_length("text") - half).cast("int")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
+    return rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
+
+
+def edits(rows: DataFrame) -> DataFrame:
+    """doc_id, n_chars and edited_sha256 of edited_rows' own rows; no words are taken apart."""
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    return rows.where(~F.col("extra")).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), digest.alias("edited_sha256"))
+
+
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row.
 
     Null texts count as empty; wordless texts have a fingerprint of zeros, like each other only. A single row is its own
     next. Rows that repeat follow one another. An empty table gives no rows.
     """
-    rows = with_next(docs)
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
-    rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
+    rows, n = edited_rows(docs), F.char_length("text")
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     parts = [F.conv(F.substring("_sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"_s{i}") for i in range(4)]
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))

@@ -49,3 +49,9 @@ def test_the_bitwise_checksum():
     c = duckdb.connect()
     for i in (0, 7, 123456789, 2**53, -5):
         assert c.sql(f"SELECT {contract.CRC} FROM (SELECT {i}::BIGINT AS doc_id)").fetchall() == [(zlib.crc32(str(i).encode()),)]
+
+
+def test_edits_take_no_words_apart(spark):
+    df = contract.fingerprint_edits(spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "xxhash64(" not in plan  # a signature's words
