@@ -104,6 +104,31 @@ def reference_parts(chromosomes: DataFrame, uri: str, width: int = 1 << 20) -> D
     return cut.select(F.lit(uri).alias("uri"), F.col("name").alias("chromosome"), "part", F.substring("sequence", (F.col("part") * width + 1).cast("int"), F.lit(width)).alias("sequence"))
 
 
+def joined_parts(pieces: DataFrame, uri: str, chromosome: str, order: str, width: int = 1 << 20) -> DataFrame:
+    """The same table of a chromosome that comes as pieces (sequence, by a whole-numbered unique order), laid end to end; no task holds it."""
+    from omiclake.operators.access import running
+
+    n = F.length("sequence")
+    at = running(pieces.where(n > 0).select(order, "sequence", n.alias("_n")), order, "_n", "_at")
+    cut = at.select("sequence", "_n", "_at", F.explode(F.sequence(F.floor(F.col("_at") / width), F.floor((F.col("_at") + F.col("_n") - 1) / width))).alias("part"))
+    first = F.greatest(F.col("part") * width - F.col("_at"), F.lit(0))
+    last = F.least((F.col("part") + 1) * width - F.col("_at"), F.col("_n"))
+    cut = cut.select("part", F.struct(F.col("_at"), F.substring("sequence", (first + 1).cast("int"), (last - first).cast("int")).alias("s")).alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["s"]), "")
+    return cut.groupBy("part").agg(whole.alias("sequence")).select(F.lit(uri).alias("uri"), F.lit(chromosome).alias("chromosome"), "part", "sequence")
+
+
+def reference_slices(references: DataFrame, uri: str, chromosome: str, ranges: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """ranges (start, stop, and columns that tell them apart) with bases, as reference_slice gives them, in one pass over the parts."""
+    keys = ranges.columns
+    wanted = ranges.select("*", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / width))).alias("part"))
+    found = wanted.join(references.where((F.col("uri") == uri) & (F.col("chromosome") == chromosome)).select("part", "sequence"), "part", "left")
+    first = F.greatest(F.col("start") - F.col("part") * width, F.lit(0))
+    last = F.least(F.col("stop") - F.col("part") * width, F.lit(width))
+    piece = F.struct("part", F.substring("sequence", (first + 1).cast("int"), (last - first).cast("int")).alias("s"))
+    return found.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["s"]), "").alias("bases"))
+
+
 def nmr_shape(spectra: DataFrame) -> DataFrame:
     """run_name, rows and columns of 2-D spectra: the number of traces and the one number of points that all have; a ragged run raises."""
     n = F.size("intensity")

@@ -144,13 +144,10 @@ def packed_references(spark, d):
 
 @query("SELECT CAST(i AS BIGINT) AS i, substr(string_agg(p_name, '' ORDER BY p_partkey), CAST(i * 50 + 1 AS BIGINT), 120) AS bases FROM part, range(0, 20) t(i) GROUP BY i")
 def reference_lookups(spark, d):
-    names = table(spark, d, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), "").alias("sequence"))
-    parts = B.reference_parts(names.select(F.lit("chr1").alias("name"), "sequence"), "ref", 64)
-    out = None
-    for i in range(20):
-        one = B.reference_slice(parts, "ref", "chr1", i * 50, i * 50 + 120, 64).select(F.lit(i).cast("long").alias("i"), "bases")
-        out = one if out is None else out.union(one)
-    return out
+    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("sequence"))
+    parts = B.joined_parts(names, "ref", "chr1", "p_partkey", 64)
+    ranges = spark.range(20).select(F.col("id").alias("i"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 120).alias("stop"))
+    return B.reference_slices(parts, "ref", "chr1", ranges, 64).select("i", "bases")
 
 
 @query("SELECT conv_id, turn, 8 + 8 + 4 + strlen(text) AS n, CAST(strlen(text) AS BIGINT) AS told FROM conversations")

@@ -99,3 +99,23 @@ def test_units_references_and_axes(spark):
     assert B.image_of_kind(images, "raman").count() == 1
     with pytest.raises(KeyError):
         B.image_of_kind(images, "ir")
+
+
+def test_pieces_make_the_parts_and_slices_of_their_sequence(spark):
+    names = ["ACGT" * 9, "", "T", None, "GATTACA", "C" * 23, "G"]
+    pieces = spark.createDataFrame([(7 * k - 3, t) for k, t in enumerate(names)][::-1], "place long, sequence string")
+    bases = "".join(t or "" for t in names)
+    whole = B.reference_parts(spark.createDataFrame([("c", bases)], "name string, sequence string"), "ref", 10)
+    parts = B.joined_parts(pieces, "ref", "c", "place", 10)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    ranges = [(0, 5), (8, 31), (20, 20), (60, 900), (500, 510), (0, len(bases))]
+    got = B.reference_slices(parts, "ref", "c", spark.createDataFrame(ranges, "start long, stop long"), 10).collect()
+    assert {(r["start"], r["stop"]): r["bases"] for r in got} == {(a, b): bases[a:b] for a, b in ranges}
+    assert B.joined_parts(pieces.where("place > 900"), "ref", "c", "place", 10).collect() == []
+
+
+def test_lookups_scan_names_a_fixed_number_of_times_and_join_no_whole_sequence(spark):
+    from omiclake.plans import catalog_more
+
+    plan = catalog_more.reference_lookups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [p_partkey") <= 2 and "Aggregate [array_join" not in plan
