@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,33 @@ def binned_quality(q: Column) -> Column:
     return out
 
 
+def points_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The code points of each text; a null one has none."""
+    for t in texts:
+        yield np.frombuffer((t.as_py() or "").encode("utf-32-le"), np.uint32)
+
+
+def code_points(text: Column) -> Column:
+    """The code points of a text, an array of ints."""
+
+    @F.arrow_udf("array<int>")
+    def points(texts: pa.Array) -> pa.Array:
+        return pa.array([x.astype(np.int32) for x in points_of(texts)], pa.list_(pa.int32()))
+
+    return points(text)
+
+
+def letters(text: Column, alphabet: str) -> Column:
+    """A text of as many characters: each that of the ASCII alphabet at its code point, modulo the alphabet's size."""
+
+    @F.arrow_udf("string")
+    def drawn(texts: pa.Array) -> pa.Array:
+        table = np.frombuffer(alphabet.encode("ascii"), np.uint8)
+        return pa.array([table[x % len(alphabet)].tobytes() for x in points_of(texts)], pa.binary()).cast(pa.string())
+
+    return drawn(text)
+
+
 def pack_qualities(data: bytes) -> bytes:
     """Bin numbers, two to a byte, low half first, after the count as 8 bytes."""
     at = np.searchsorted([low for low, _ in QUALITY_BINS], np.frombuffer(data, np.uint8), side="right") - 1

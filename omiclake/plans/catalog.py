@@ -329,7 +329,7 @@ CODES = "list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda
 
 
 def codes():
-    return F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), F.ascii)
+    return C.code_points(F.coalesce("text", F.lit("")))
 
 
 @query("SELECT event_id, CASE WHEN value + user_id > 0 THEN round(value / (value + user_id), 9) END AS ratio FROM events")
@@ -428,7 +428,7 @@ def block_islands(spark, d):
 
 @query("SELECT doc_id, CASE WHEN len(t) = 0 THEN 1.0 ELSE round(len(regexp_replace(t, '[^ACGT]', '', 'g')) / len(t), 9) END AS fraction FROM (SELECT doc_id, coalesce(array_to_string(list_transform(" + CODES + ", lambda x: 'ACGTN'[x % 5 + 1]), ''), '') AS t FROM documents)")
 def packable_fraction(spark, d):
-    t = F.array_join(F.transform(codes(), lambda x: F.substr(F.lit("ACGTN"), x % 5 + 1, F.lit(1))), "")
+    t = C.letters(F.coalesce("text", F.lit("")), "ACGTN")
     return table(spark, d, "documents").select("doc_id", F.round(J.packable_fraction(t), 9).alias("fraction"))
 
 

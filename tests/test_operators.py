@@ -256,3 +256,16 @@ def test_seeded_qualities_repeat(spark):
     reads = spark.createDataFrame([("a", 1, b"xx"), ("a", 0, b"yyyy"), ("b", 0, None)], "run_name string, read_index long, qualities binary")
     one, two = ({(r[0], r[1]): bytes(r[2]) for r in anonymise.seeded_qualities(d, 5).collect()} for d in (reads, reads.repartition(3)))
     assert one == two and one["a", 0] == np.random.default_rng(5).integers(0, 94, 4, dtype=np.uint8).tobytes()
+
+
+def test_code_points_and_letters_are_whole_and_taken_in_batches(spark):
+    texts = ["", "abc", "\u00e9\u4e2d\U0001f600z", None, "\x00x\n", "N" * 70_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", codecs.code_points(F.col("text")).alias("x"), codecs.letters(F.col("text"), "ACGTN").alias("t")).collect()
+    assert {r["id"]: (r["x"], r["t"]) for r in got} == {i: ([ord(c) for c in t or ""], "".join("ACGTN"[ord(c) % 5] for c in t or "")) for i, t in enumerate(texts)}
+
+
+def test_packable_fraction_splits_no_text_into_characters(spark):
+    from omiclake.plans import catalog
+
+    for name in ("packable_fraction", "quality_binned", "phred_detect"):
+        assert "split(" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
