@@ -625,3 +625,104 @@ def test_blocks_without_common_words_are_of_the_first_class():
     block = lm.Block(docs, lm.packed(word=np.zeros(2, np.int32), times=np.ones(2, np.int32)), lm.packed(word=pa.array([b"\n"])))
     gate = lm.Classes([b"x"])
     assert not gate.vectors(block).any() and gate.of(block).tolist() == [0, 0]
+
+
+def order_of(texts, common=(), folds=None):
+    """The texts as one block of documents of fold 1, or of folds, in order."""
+    words, length, number = lm.ordered(pa.array(texts, pa.string()))
+    sizes, word, times = lm.bagged(length, number, len(words))
+    folds = np.array([1] * len(texts) if folds is None else folds, np.int8)
+    docs = lm.packed(doc_id=np.arange(len(texts)), fold=folds, bytes=np.zeros(len(texts), np.int64), size=sizes)
+    block = lm.Block(docs, lm.packed(word=word.astype(np.int32), times=times.astype(np.int32)), lm.packed(word=words))
+    return lm.Order(block, lm.planes(number), lm.Classes(list(common)))
+
+
+def learned(order):
+    n = np.zeros(lm.Follow.CELLS + 1, np.int64)
+    for x in order.spans():
+        for cells in (x.near, x.far):
+            np.add.at(n, cells, 1)
+        n[-1] += len(x.passage)
+    return lm.Follow(n)
+
+
+def test_words_keep_their_order_in_a_block(monkeypatch):
+    got = ["  b A\tc\x0bb", "", "a", None and "", "c c b " * 50, "z"]
+    order = order_of([t or "" for t in got])
+    names = order.block.words.to_pylist()
+    want = [[*(w.encode() for w in words(lower(t))), b"\n"] for t in got]
+    assert [names[i] for i in order.number] == sum(want, []) and order.length.tolist() == [len(w) for w in want]
+    whole = list(order.spans())
+    monkeypatch.setattr(lm, "SPAN", 3)
+    parts = list(order.spans())
+    assert len(whole) == 1 and len(parts) > 3
+    for name in ("word", "near", "far", "passage"):
+        assert (np.concatenate([getattr(x, name) for x in parts]) == getattr(whole[0], name)).all()
+
+
+def test_word_scores_match_a_loop_over_the_text_so_far():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(9)]
+    order = order_of(texts, (b"a", b"b"))
+    x, follow = next(order.spans()), learned(order_of([*texts[:5], "a q"], (b"a", b"b")))
+    counts = np.bincount(order.number[: order.end[4]], minlength=len(order.hash))
+    spelled = np.array([rng.uniform(0.01, 0.1) for _ in order.hash])
+    got = lm.word_scores(x, spelled[x.word], counts[x.word], follow)
+    cell = 0
+    for i, end in enumerate(order.end):
+        text, done, met = order.number[end - order.length[i] : end].tolist(), np.zeros(5), np.zeros(5)
+        for k, w in enumerate(text):
+            p, on, pairs = np.zeros(5), np.ones(5), list(zip(text[:k], text[1:k], strict=False))
+            p[0] = spelled[w]
+            for j, at in ((1, x.near[cell]), (2, x.far[cell])):
+                p[j], on[j] = follow.share[at] * counts[w] / max(follow.all[order.column[w]], 1), follow.met[at // lm.NEXT]
+            p[3], on[3] = text[:k].count(w) / max(k, 1), k > 0
+            seen = sum(u == text[k - 1] for u, _ in pairs) if k else 0
+            p[4], on[4] = pairs.count((text[k - 1], w)) / max(seen, 1) if k else 0, seen > 0
+            p *= on
+            weight = (lm.HELD * lm.PRIOR + done) / (lm.HELD + met) * on
+            assert got[cell] == pytest.approx(math.log10((weight * p).sum() / weight.sum()), abs=1e-9)
+            done += lm.PRIOR * p / (lm.PRIOR * p).sum()
+            met += on
+            cell += 1
+
+
+def test_word_scores_of_all_next_words_do_not_exceed_one():
+    start = "a b a c a b b d a"
+    names = ["a", "b", "c", "d", "e", "rare"]
+    order = order_of([f"{start} {w}" for w in names] + [start])
+    follow = learned(order)
+    counts = np.bincount(order.number, minlength=len(order.hash))
+    x = next(order.spans())
+    got = lm.word_scores(x, np.full(len(x.word), 1 / (len(names) + 1)), counts[x.word], follow)
+    last = [i for i in range(len(x.word)) if x.place[i] == len(start.split())]
+    assert len(last) == len(names) + 1 and (10 ** got[last]).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_passages_are_predicted_by_other_documents_only(monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(90)) for i in range(4)]
+    order = order_of([*texts, texts[1], texts[2]], folds=[1, 1, 0, 1, 1, 1])
+    x = next(order.spans())
+    training = order.block.fold[x.passage_text] != lm.HELD_OUT
+    h, n = np.unique(x.passage[training], return_counts=True)
+    rows = np.zeros(len(h), lm.PASSAGES)
+    rows["hash"], rows["n"] = h, n
+    own = np.full(len(x.passage), -200.0)
+    got = lm.passage_scores(x, own, order.block.fold != lm.HELD_OUT, rows, int(training.sum()))
+    by = [got[x.passage_text == i] for i in range(6)]
+    # Of its words: a text that no other training document has; its copies' only passages are those that are nowhere else.
+    assert all((by[i] < -200).all() for i in (0, 3, 5)) and all((by[i] > -10).all() for i in (1, 2, 4))
+
+
+def test_lm_scores_depend_on_the_order_of_words_and_on_copies(spark):
+    rng = random.Random(31)
+    pairs = [(f"left{i}", f"right{i}") for i in range(30)]
+    data = [(i, " ".join(w for p in rng.choices(pairs, k=60) for w in p)) for i in range(120)]
+    own = [w for p in rng.choices(pairs, k=60) for w in p]
+    data += [(1000, " ".join(own)), (1001, " ".join(rng.sample(own, len(own))))]
+    lone, twice = (" ".join(f"{s}{rng.randrange(10**9)}" for _ in range(100)) for s in "st")
+    data += [(2001, lone), (2002, twice), (2003, twice)]
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()}
+    assert (got[1000]["n_tokens"], got[1000]["n_known"]) == (got[1001]["n_tokens"], got[1001]["n_known"])
+    assert got[1000]["score"] > 0.7 * got[1001]["score"]
+    assert got[2002]["bits_per_byte"] < 0.5 * got[2001]["bits_per_byte"]
