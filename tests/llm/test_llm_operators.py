@@ -630,11 +630,9 @@ def test_blocks_without_common_words_are_of_the_first_class():
 def order_of(texts, common=(), folds=None):
     """The texts as one block of documents of fold 1, or of folds, in order."""
     words, length, number = lm.ordered(pa.array(texts, pa.string()))
-    sizes, word, times = lm.bagged(length, number, len(words))
     folds = np.array([1] * len(texts) if folds is None else folds, np.int8)
-    docs = lm.packed(doc_id=np.arange(len(texts)), fold=folds, bytes=np.zeros(len(texts), np.int64), size=sizes)
-    block = lm.Block(docs, lm.packed(word=word.astype(np.int32), times=times.astype(np.int32)), lm.packed(word=words))
-    return lm.Order(block, lm.planes(number), lm.Classes(list(common)))
+    docs = lm.packed(doc_id=np.arange(len(texts)), fold=folds, bytes=np.zeros(len(texts), np.int64), length=length)
+    return lm.Order(*lm.Block.whole(docs, lm.packed(word=words), lm.planes(number)), lm.Classes(list(common)))
 
 
 def learned(order):
