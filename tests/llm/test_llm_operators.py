@@ -717,10 +717,11 @@ def test_lm_scores_depend_on_the_order_of_words_and_on_copies(spark):
     pairs = [(f"left{i}", f"right{i}") for i in range(30)]
     data = [(i, " ".join(w for p in rng.choices(pairs, k=60) for w in p)) for i in range(120)]
     own = [w for p in rng.choices(pairs, k=60) for w in p]
-    data += [(1000, " ".join(own)), (1001, " ".join(rng.sample(own, len(own))))]
+    straight, mingled, alone, copy = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    data += [(straight, " ".join(own)), (mingled, " ".join(rng.sample(own, len(own))))]
     lone, twice = (" ".join(f"{s}{rng.randrange(10**9)}" for _ in range(100)) for s in "st")
-    data += [(2001, lone), (2002, twice), (2003, twice)]
+    data += [(alone, lone), (2002, twice), (copy, twice)]
     got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()}
-    assert (got[1000]["n_tokens"], got[1000]["n_known"]) == (got[1001]["n_tokens"], got[1001]["n_known"])
-    assert got[1000]["score"] > 0.7 * got[1001]["score"]
-    assert got[2002]["bits_per_byte"] < 0.5 * got[2001]["bits_per_byte"]
+    assert (got[straight]["n_tokens"], got[straight]["n_known"]) == (got[mingled]["n_tokens"], got[mingled]["n_known"])
+    assert got[straight]["score"] > 0.7 * got[mingled]["score"]
+    assert got[copy]["bits_per_byte"] < 0.5 * got[alone]["bits_per_byte"]
