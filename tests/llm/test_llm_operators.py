@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gc
 import hashlib
 import json
 import math
@@ -725,3 +726,44 @@ def test_lm_scores_depend_on_the_order_of_words_and_on_copies(spark):
     assert (got[straight]["n_tokens"], got[straight]["n_known"]) == (got[mingled]["n_tokens"], got[mingled]["n_known"])
     assert got[straight]["score"] > 0.7 * got[mingled]["score"]
     assert got[copy]["bits_per_byte"] < 0.5 * got[alone]["bits_per_byte"]
+
+
+def test_lm_a_worker_holds_one_block_and_gives_its_memory_back():
+    from omiclake.llm import common
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 200_003}" for j in range(1500)) for i in range(300)]
+    words, length, number = lm.ordered(pa.array(texts, pa.string()))
+    docs = lm.packed(doc_id=np.arange(len(texts)), fold=np.ones(len(texts), np.int8), bytes=np.zeros(len(texts), np.int64), length=length)
+    row = pa.RecordBatch.from_arrays([pa.array([5]), *(pa.array([x], pa.binary()) for x in (docs, lm.packed(word=words), lm.planes(number)))], ["_block", "docs", "words", "ordered"])
+    gate, n = lm.Classes([b"w1"]), len(number)
+    common._powers.clear()
+    gc.collect()
+    lm.give_back()
+    began = held()
+    for read, kept in ((lm.in_order, "hash"), (lambda rows, _: lm.each(rows), "word")):
+        last = None
+        for at, block in read(iter([row] * 3), gate):
+            assert at == 5 and hasattr(block, kept) and not (last is not None and vars(last)), "the block before is still held"
+            assert sum(len(x.word) for x in block.spans()) == n if kept == "hash" else block.times.sum() == n
+            last = block
+    assert max(map(len, common._powers.values())) <= 1 << 18  # of a span or a word, not of all words of a block
+    assert held() - began < 8 + n * 8 / 1e6
+    data, ends = np.frombuffer(b"".join(lm.raw(words)), np.uint8), np.cumsum([0, *map(len, lm.raw(words))])
+    assert (lm.word_hashes(words) == common.window_hash(common.prefix_hash(data), ends[:-1], ends[1:])).all()
+    assert len(lm.word_hashes(words[:0])) == 0
+
+
+def test_lm_counts_of_pieces_are_those_of_all(monkeypatch):
+    words = [f"word{i * i}".encode() for i in range(300)] + [b"\n"]
+    t, times = lm.Tokens(words, np.arange(301) % 8), np.arange(301.0)
+    maps = []
+    for piece in (1 << 16, 100):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        m = lm.Model(*(np.random.default_rng(7).integers(0, 200, lm.INPUTS << lm.BITS).astype(x) for x in (np.int16, np.uint8)))
+        m.observe(t, times)
+        maps.append(m.map)
+        assert sum(x.stop - x.start for x in t.pieces()) >= len(t.byte) and t.place.nbytes == 4 * lm.INPUTS * len(t.byte)
+    assert (maps[0] == maps[1]).all() and maps[0].sum() == 8 * times[t.word].sum()
